@@ -1,0 +1,181 @@
+"""Percentiles of very large numeric columns by dyadic Count-sketches.
+
+A value is encoded as an order-preserving integer of `12 + mantissa_bits` bits. Level l of the
+dyadic tree counts the codes shifted right by l. The finest level with at most 2**exact_bits nodes is
+counted exactly, occupied nodes only (its sums give the levels above); every level below it is a
+signed Count-sketch of `depth` rows by `width` cells.
+A sketch is a plain table (group, level, row, cell, n): two sketches are merged by
+adding n over equal cells, and deletion adds with weight -1. Ranks are inverted by
+descending the levels.
+
+Building is one partial-then-final hash aggregation inside the JVM: rows are first
+counted per (group, code), then spread over their cells. A group's sketch has at
+most depth*width*levels + 2**exact_bits cells whatever its rows, so inversion sees a bounded table.
+
+Stated error, per group: the rank of the answer differs from q*n by at most
+`rank_bound` with high probability, where rank_bound adds over the sketched levels three standard
+deviations sqrt(F2/width) of a Count-sketch row, times the spread of a median of `depth` rows, estimated from the sketch itself; the value's relative error is at most
+2**-mantissa_bits.
+"""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gramforge.errors import InvalidOperation
+from gramforge.util import col, require
+
+
+@dataclass(frozen=True)
+class SketchShape:
+    """Parameters every mergeable part must share. width is a power of two."""
+
+    mantissa_bits: int = 16
+    exact_bits: int = 20
+    width: int = 4096
+    depth: int = 5
+
+    def __post_init__(self):
+        if self.width & (self.width - 1) or self.width < 2 or not 1 <= self.mantissa_bits <= 40 or self.depth < 1 or not 1 <= self.exact_bits <= 22:
+            raise InvalidOperation(f"bad sketch shape {self}")
+
+    @property
+    def bits(self) -> int:
+        return 12 + self.mantissa_bits
+
+    @property
+    def sketched(self) -> int:
+        """Number of sketched levels; the next one is exact."""
+        return max(0, self.bits - self.exact_bits)
+
+
+def encode(c: Column, shape: SketchShape) -> Column:
+    """Order-preserving code of a finite double: sign, binary exponent, leading mantissa bits."""
+    one, mid = 2**shape.mantissa_bits, 2 ** (11 + shape.mantissa_bits)
+    a = F.abs(c)
+    e = F.least(F.greatest(F.floor(F.log2(a)), F.lit(-1022)), F.lit(1023))
+    m = F.floor((a / F.pow(F.lit(2.0), e) - 1) * one)
+    mag = (e + 1022) * one + F.least(F.greatest(m, F.lit(0)), F.lit(one - 1)) + 1
+    return F.when(a < F.lit(2.0**-1022), F.lit(mid)).when(c > 0, F.lit(mid) + mag).otherwise(F.lit(mid) - mag).cast("long")
+
+
+def decode(code: int, shape: SketchShape) -> float:
+    """The middle of the values that share a code."""
+    one, mid = 2**shape.mantissa_bits, 2 ** (11 + shape.mantissa_bits)
+    if code == mid:
+        return 0.0
+    mag = abs(code - mid) - 1
+    v = (1 + (mag % one + 0.5) / one) * 2.0 ** (mag // one - 1022)
+    return v if code > mid else -v
+
+
+def build_sketch(df: DataFrame, groups: Sequence[str], value: str, *, shape: SketchShape = SketchShape(), weight: str | None = None) -> DataFrame:  # noqa: B008
+    """The sketch of `value` per combination of `groups`: their columns and (level, row, cell, n).
+
+    NULL, NaN and infinite values are not counted. A NULL group is a group of its own. Repeated
+    rows and ties count each. weight: a column of integral counts, negative to delete (NULL counts 0). An
+    empty table gives an empty sketch. Other columns of `df` are not carried along;
+    a group column may not be named level, row, cell or n.
+    """
+    if clash := [g for g in groups if g.lower() in ("level", "row", "cell", "n")]:
+        raise InvalidOperation(f"group columns named like sketch columns: {clash}")
+    require(df, *groups, value, *([weight] if weight else []))
+    g = [f"_g{i}" for i in range(len(groups))]
+    v = col(value).cast("double")
+    fin = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
+    w = F.coalesce(col(weight).cast("long"), F.lit(0)) if weight else F.lit(1).cast("long")
+    codes = df.where(fin).select(*[col(a).alias(b) for a, b in zip(groups, g, strict=True)], encode(v, shape).alias("code"), w.alias("w"))
+    codes = codes.groupBy(*g, "code").agg(F.sum("w").alias("w"))
+    s, d = shape.sketched, shape.depth
+    x = codes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(s * d))))
+    x = x.withColumn("level", F.expr(f"cast(i div {d} as int)")).withColumn("row", F.expr(f"cast(i % {d} as int)"))
+    x = x.withColumn("node", F.expr("shiftright(code, level)")).withColumn("h", F.xxhash64("node", F.col("i").cast("long")))
+    exact = F.col("level") == s
+    x = x.select(
+        *g, "level", "row",
+        F.when(exact, F.col("node")).otherwise(F.expr(f"pmod(shiftright(h, 8), {shape.width}L)")).cast("int").alias("cell"),
+        F.when(exact | (F.expr("h & 1") == 0), F.col("w")).otherwise(-F.col("w")).alias("n"),
+    )
+    return _add(x, g).select(*[F.col(b).alias(a) for a, b in zip(groups, g, strict=True)], "level", "row", "cell", "n")
+
+
+def _add(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
+    return cells.groupBy(*[col(g) for g in groups], "level", "row", "cell").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def merge_sketches(sketch: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Adds sketches (of days, areas, deletions ...) into one per combination of `groups`."""
+    return _add(sketch, groups)
+
+
+def _hash(node: int, i: int) -> int:
+    h = xxhash.xxh64_intdigest(struct.pack("<q", node), 42)
+    h = xxhash.xxh64_intdigest(struct.pack("<q", i), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def _invert(level: np.ndarray, row: np.ndarray, cell: np.ndarray, n: np.ndarray, qs: Sequence[float], shape: SketchShape) -> tuple[int, float, list[float | None]]:
+    s, d, w = shape.sketched, shape.depth, shape.width
+    at = level == s
+    order = np.argsort(cell[at], kind="stable")
+    nodes, top = cell[at][order], n[at][order]
+    grid = np.zeros((max(s, 1), d, w), np.int64)
+    grid[level[~at], row[~at], cell[~at]] = n[~at]
+    total = int(top.sum())
+    f2 = np.median((grid.astype(float) ** 2).sum(axis=2), axis=1).sum() if s else 0.0
+    spread = 1.0 if d < 3 else float(np.sqrt(np.pi / 2 / d))  # of a median of d normal values, from above
+    bound = 3 * spread * float(np.sqrt(f2 / w))
+    below = np.cumsum(top)
+    out: list[float | None] = []
+    for q in qs:
+        if total <= 0:
+            out.append(None)
+            continue
+        r = max(1.0, np.ceil(q * total - 1e-9))
+        k = int(np.searchsorted(below, r))
+        r -= float(below[k] - top[k])
+        node, size = int(nodes[k]), float(top[k])
+        for lv in range(s - 1, -1, -1):
+            node *= 2
+            est = []
+            for j in range(d):
+                h = _hash(node, lv * d + j)
+                est.append((1 if h & 1 == 0 else -1) * grid[lv, j, (h >> 8) % w])
+            left = min(max(float(np.median(est)), 0.0), size)
+            if r > left and left < size:
+                r -= left
+                size -= left
+                node += 1
+            else:
+                size = left
+        out.append(decode(node, shape))
+    return total, bound, out
+
+
+def sketch_quantiles(sketch: DataFrame, groups: Sequence[str], qs: Sequence[float], *, shape: SketchShape = SketchShape()) -> DataFrame:  # noqa: B008
+    """Per group and q: `q`, `quantile` (the least value whose rank reaches q*n), `n_values`, `rank_bound`.
+
+    A group's cells are bounded by the shape however many rows it has, so one task per group is bounded.
+    A group whose counts are deleted down to 0 has a NULL quantile.
+    """
+    if bad := [q for q in qs if not 0 <= q <= 1]:
+        raise InvalidOperation(f"quantiles outside [0, 1]: {bad}")
+    kinds = {f.name: f.dataType for f in sketch.schema}
+    schema = T.StructType([T.StructField(g, kinds[g]) for g in groups] + [T.StructField("q", T.DoubleType()), T.StructField("quantile", T.DoubleType()), T.StructField("n_values", T.LongType()), T.StructField("rank_bound", T.DoubleType())])
+    qs = [float(q) for q in qs]
+
+    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, bound, vals = _invert(*(pdf[c].to_numpy() for c in ("level", "row", "cell", "n")), qs, shape)
+        cols = {g: [k] * len(qs) for g, k in zip(groups, key, strict=True)}
+        return pd.DataFrame(cols | {"q": qs, "quantile": vals, "n_values": n, "rank_bound": bound})
+
+    return sketch.groupBy(*[col(g) for g in groups]).applyInPandas(kernel, schema)

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramforge.llm.code_language import language_shares, natural_language_units
 from gramforge.llm.leaked_items import leaked_items
 from gramforge.llm.mixing import mix_sources
 from gramforge.llm.shared_spans import shared_share, shared_spans
@@ -16,6 +17,21 @@ from gramforge.util import read_table
 RANKS_FILE = os.environ.get("GRAMFORGE_RANKS_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+def _found_units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    files = read_table(spark, d, "source_files")
+    # The project's own word list: bounded, as a hand-kept list is.
+    words = [r["pt_word"] for r in read_table(spark, d, "pt_words").where("pt_word is not null").limit(100_000).collect()]
+    return files, natural_language_units(files, extra_words={"pt": words})
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _found_units(spark, d)[1].select("file_id", "line_no", "unit_kind", "lang").distinct()
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    return language_shares(*_found_units(spark, d))
+
+
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
@@ -45,7 +61,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(docs, shared_spans(docs)).withColumn("shared_share", F.round("shared_share", 9))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_shares, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares)}
 
 _P8 = """
 win as (select doc_id, unnest(range(0, length(text) - 349)) as s, text from documents where length(text) >= 350),

@@ -173,7 +173,7 @@ def sketch_quantiles(sketch: DataFrame, groups: Sequence[str], qs: Sequence[floa
     schema = T.StructType([T.StructField(g, kinds[g]) for g in groups] + [T.StructField("q", T.DoubleType()), T.StructField("quantile", T.DoubleType()), T.StructField("n_values", T.LongType()), T.StructField("rank_bound", T.DoubleType())])
     qs = [float(q) for q in qs]
 
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def kernel(key, pdf):
         n, bound, vals = _invert(*(pdf[c].to_numpy() for c in ("level", "row", "cell", "n")), qs, shape)
         cols = {g: [k] * len(qs) for g, k in zip(groups, key, strict=True)}
         return pd.DataFrame(cols | {"q": qs, "quantile": vals, "n_values": n, "rank_bound": bound})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gramforge.errors import InvalidOperation
 from gramforge.plans.scan import carry_last
-from gramforge.util import col, require
+from gramforge.util import col, join_on, require
 
 
 def regular_grid(df: DataFrame, keys: Sequence[str], time: str, step: str | int, value: str, *, valid: Column | None = None, method: str = "linear", shard_slots: int = 4096, fan: int = 4096) -> DataFrame:
@@ -51,13 +51,7 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time: str, step: str | int,
     carry = carry_last(shards, [*k, "st"], "shard", "last", "carry", fan).select(*k, "st", "shard", "carry")
     w = Window.partitionBy(*k, "st", "shard").orderBy("slot")
     x = slots.withColumn("prev", F.lag(end).over(w))
-    names = [*k, "st", "shard"]
-    c = carry.select(*[F.col(a).alias(f"c{a}") for a in names], "carry")
-    on = None
-    for a in names:
-        e = F.col(a).eqNullSafe(F.col(f"c{a}")) if a in k else F.col(a) == F.col(f"c{a}")
-        on = e if on is None else on & e
-    x = x.join(c, on, "left").withColumn("prev", F.coalesce("prev", "carry"))
+    x = join_on(x, carry, [*k, "st", "shard"]).withColumn("prev", F.coalesce("prev", "carry"))
     # A long gap is opened in pieces, so that no row ever holds an array over one shard's length.
     x = x.withColumn("from", F.coalesce(F.col("prev.slot") + 1, F.col("slot")))
     x = x.withColumn("piece", F.explode(F.sequence(F.col("from"), F.col("slot"), F.lit(shard_slots).cast("long"))))

@@ -14,10 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramforge.errors import InvalidOperation
-from gramforge.plans.scan import carry_last, prefix_sum
-from gramforge.util import checkpoint, col, free_name, require
-
-NAN = float("nan")
+from gramforge.plans.scan import prefix_sum
+from gramforge.util import checkpoint, col, free_name, join_on, require
 
 
 class Ordered:
@@ -50,14 +48,7 @@ class Ordered:
         return [col(k) for k in self.keys]
 
     def _join(self, left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-        """Left join on the keys (NULL equals NULL) and `on`."""
-        names = [*self.keys, *on]
-        r = right.select(*[col(c).alias(f"__r_{c}") if c in names else col(c) for c in right.columns])
-        cond = None
-        for c in names:
-            e = col(c).eqNullSafe(col(f"__r_{c}")) if c in self.keys and c != self._one else col(c) == col(f"__r_{c}")
-            cond = e if cond is None else cond & e
-        return left.join(r, cond, "left").drop(*[f"__r_{c}" for c in names])
+        return join_on(left, right, [*self.keys, *on])
 
     def rows(self) -> DataFrame:
         """Source columns and the position in the key, from 0."""
@@ -196,5 +187,3 @@ class Ordered:
         counts = self.df.groupBy(*self._key_cols()).agg(F.count(F.lit(1)).alias(size))
         return self._join(self.df, counts, []).where(col(self.pos) >= col(size) - n).select(*[col(c) for c in self.source])
 
-
-__all__ = ["Ordered", "carry_last", "prefix_sum"]

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramforge.util import col, free_name
+from gramforge.util import col, free_name, join_on
 
 
 def carry_last(summary: DataFrame, keys: Sequence[str], shard: str, value: str, out: str, fan: int = 4096) -> DataFrame:
@@ -30,8 +30,7 @@ def carry_last(summary: DataFrame, keys: Sequence[str], shard: str, value: str,
     tops = tops.select(*k, col(sup), F.lag(col(last)).over(Window.partitionBy(*k).orderBy(col(sup))).alias(base))
     on = [*keys, sup]
     return (
-        s.withColumn(out, F.lag(col(value)).over(inner))
-        .join(tops, on, "left")
+        join_on(s.withColumn(out, F.lag(col(value)).over(inner)), tops, on)
         .withColumn(out, F.coalesce(col(out), col(base)))
         .select(*[col(c) for c in summary.columns], col(out))
     )
@@ -51,6 +50,7 @@ def prefix_sum(summary: DataFrame, keys: Sequence[str], shard: str, values: Sequ
     tots = [free_name(f"_tot{i}", [*summary.columns, *outs]) for i in range(len(values))]
     tops = s.groupBy(*k, col(sup)).agg(*[F.sum(col(v)).alias(t) for v, t in zip(values, tots, strict=True)])
     tops = tops.select(*k, col(sup), *[before(col(t), outer).alias(t) for t in tots])
-    return s.select("*", *[before(col(v), inner).alias(o) for v, o in zip(values, outs, strict=True)]).join(tops, [*keys, sup], "left").select(
+    x = s.select("*", *[before(col(v), inner).alias(o) for v, o in zip(values, outs, strict=True)])
+    return join_on(x, tops, [*keys, sup]).select(
         *[col(c) for c in summary.columns], *[(col(o) + F.coalesce(col(t), F.lit(0))).alias(o) for o, t in zip(outs, tots, strict=True)]
     )

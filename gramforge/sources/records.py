@@ -10,7 +10,7 @@ Grammar (sep and quote are parameters):
 
 A rule that fails raises a located error. Recovery: the reader resumes at the next
 validated record-start anchor, i.e. the first later line start from which a whole record
-parses and passes the schema; the text before it is one faulty record.
+parses with the right number of fields and a valid first field; the text before it is one faulty record.
 """
 
 from __future__ import annotations
@@ -145,11 +145,13 @@ class Parser:
             at = stop + (2 if text.startswith("\r\n", stop) else 1)
 
     def anchor(self, text: str, at: int, end: int) -> int | None:
-        """The first line start after `at` and before `end` from which a valid record parses."""
+        """The first line start after `at` and before `end` from which a record parses with all fields and a valid first one."""
         while (at := text.find("\n", at, end) + 1) > 0:
             try:
-                self.typed(self.record(text, at, len(text), True)[0])
-                return at
+                fields = self.record(text, at, len(text), True)[0]
+                if len(fields) == len(self.specs):
+                    self.value(self.specs[0], fields[0], 0)
+                    return at
             except RecordError:
                 continue
         return None

@@ -37,6 +37,18 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return (c.isNull() | F.isnan(c)) if kind in ("double", "float") else c.isNull()
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "left") -> DataFrame:
+    """Join on equally named keys where NULL equals NULL; the right side's keys are dropped."""
+    keys = list(keys)
+    new = {k: free_name(f"_right_{i}", [*left.columns, *right.columns]) for i, k in enumerate(keys)}
+    r = right.select(*[col(c).alias(new.get(c, c)) for c in right.columns])
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        e = col(k).eqNullSafe(col(new[k]))
+        cond = e if i == 0 else cond & e
+    return left.join(r, cond, how).drop(*new.values())
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,0 +1,66 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gramforge.errors import InvalidOperation
+from gramforge.operators.dyadic_sketch import SketchShape, build_sketch, decode, encode, merge_sketches, sketch_quantiles
+
+QS = [0.0, 0.01, 0.1, 0.5, 0.9, 0.99, 1.0]
+
+
+def test_encoding_keeps_order_and_precision(spark):
+    shape = SketchShape()
+    rng = np.random.default_rng(0)
+    v = np.concatenate([rng.normal(0, 1, 500) * 10.0 ** rng.integers(-300, 300, 500), [0.0, -0.0, 1.0, -1.0, 8.0, np.nextafter(8, 0), 5e-324, 1.7e308]])
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    r = sorted((x["v"], x["c"]) for x in df.select("v", encode(F.col("v"), shape).alias("c")).collect())
+    codes = [c for _, c in r]
+    assert codes == sorted(codes) and 0 <= codes[0] and codes[-1] < 2**shape.bits
+    for x, c in r:
+        if abs(x) > 1e-300:
+            assert decode(c, shape) == pytest.approx(x, rel=2.0**-shape.mantissa_bits)
+
+
+def rank_error(values, q, got):
+    tol = abs(got) * 2.0**-15
+    lo, hi = (values < got - tol).sum(), (values <= got + tol).sum()
+    want = max(1, math.ceil(q * len(values)))
+    return max(0, lo + 1 - want, want - hi)
+
+
+@pytest.mark.parametrize("kind", ["tail", "ties", "wide"])
+def test_error_is_within_the_stated_bound(spark, kind):
+    rng = np.random.default_rng(5)
+    v = {"tail": np.round(np.exp(rng.normal(3, 1, 40000)), 2), "ties": rng.integers(0, 30, 40000).astype(float), "wide": rng.normal(0, 1, 40000) ** 3}[kind]
+    df = spark.createDataFrame([(float(x), i % 3) for i, x in enumerate(v)], "v double, part int")
+    sk = merge_sketches(build_sketch(df, ["part"], "v"), [])
+    for r in sketch_quantiles(sk, [], QS).collect():
+        assert r["n_values"] == len(v)
+        assert r["rank_bound"] <= 0.015 * len(v)
+        assert rank_error(v, r["q"], r["quantile"]) <= r["rank_bound"] + 1
+
+
+def test_merge_and_deletion_equal_the_direct_sketch(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(float(x), int(d)) for x, d in zip(rng.exponential(20, 3000), rng.integers(0, 4, 3000), strict=True)], "v double, day int")
+    whole = build_sketch(df, [], "v")
+    gone = build_sketch(df.where("day = 3").withColumn("w", F.lit(-1)), [], "v", weight="w")
+    left = merge_sketches(whole.unionByName(gone), [])
+    direct = build_sketch(df.where("day < 3"), [], "v")
+    assert sorted(map(tuple, left.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_edge_cases(spark):
+    df = spark.createDataFrame([("a", None), ("a", math.nan), ("a", math.inf), ("a", 2.0), ("a", 2.0), (None, 3.0), ("b", None)], "g string, v double")
+    r = {x["g"]: x for x in sketch_quantiles(build_sketch(df, ["g"], "v"), ["g"], [0.5]).collect()}
+    assert set(r) == {"a", None}
+    assert r["a"]["n_values"] == 2 and r["a"]["quantile"] == pytest.approx(2.0, rel=1e-4) and r[None]["quantile"] == pytest.approx(3.0, rel=1e-4)
+    assert build_sketch(df.limit(0), ["g"], "v").count() == 0
+    assert sketch_quantiles(build_sketch(df.limit(0), ["g"], "v"), ["g"], [0.5]).count() == 0
+    assert build_sketch(df.withColumn("code", F.lit(1)).withColumn("w", F.lit(1)), ["code"], "v").columns[0] == "code"
+    with pytest.raises(InvalidOperation):
+        build_sketch(df.withColumn("Level", F.lit(1)), ["Level"], "v")
+    with pytest.raises(InvalidOperation):
+        sketch_quantiles(build_sketch(df, ["g"], "v"), ["g"], [1.5])

@@ -14,20 +14,30 @@ def norm_pdf(x):
     return np.exp(-0.5 * np.square(x)) / math.sqrt(2 * math.pi)
 
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+_erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
 def norm_cdf(x):
-    return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2))
+    return np.asarray(0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2)), float)
 
 
 def norm_sf(x):
-    return 0.5 * _erfc(np.asarray(x, float) / math.sqrt(2))
+    return np.asarray(0.5 * _erfc(np.asarray(x, float) / math.sqrt(2)), float)
 
 
 def lgamma(x):
-    return _lgamma(x)
+    """Logarithm of the gamma function for positive arguments: recurrence to 8 and above, then Stirling's series."""
+    x = np.array(x, float, copy=True)
+    shift = np.ones_like(x)
+    for _ in range(8):
+        low = x < 8
+        if not low.any():
+            break
+        shift = np.where(low, shift * x, shift)
+        x = np.where(low, x + 1, x)
+    r = 1 / (x * x)
+    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series - np.log(shift)
 
 
 def digamma(x):

@@ -461,5 +461,3 @@ def gam(df: DataFrame, y: str, smooth: Sequence[str], *, n_basis: int = 10, pena
     edf = float(np.trace(inv @ xx))
     s2 = ssr / (g.n - edf)
     return Fit(names, beta, s2 * inv @ xx @ inv, g.n - edf, {"n": g.n, "edf": edf, "sigma": math.sqrt(s2), "ssr": ssr}, list(x.values()))
-
-

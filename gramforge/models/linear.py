@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -233,7 +235,7 @@ def irls(df: DataFrame, y: Column, x: Sequence[Column], start: np.ndarray, weigh
     raise OptimizationFailed(f"no convergence in {max_iter} iterations")
 
 
-def quantile_regression(df: DataFrame, formula: str, tau: float = 0.5, *, eps: float = 1e-6, max_iter: int = 500) -> Fit:
+def quantile_regression(df: DataFrame, formula: str, tau: float = 0.5, *, eps: float = 1e-4, max_iter: int = 60) -> Fit:
     """Iteratively reweighted least squares for the check loss; covariance by Powell's kernel estimate."""
     if not 0 < tau < 1:
         raise InvalidOperation("tau must be in (0, 1)")
@@ -244,13 +246,23 @@ def quantile_regression(df: DataFrame, formula: str, tau: float = 0.5, *, eps: f
     start = fit_columns(z, ye, dict(zip(x, xe, strict=True)))
     scale = max(start.stats["sigma"], 1e-12)
 
-    def weight(u: Column) -> Column:
-        return F.when(u >= 0, F.lit(tau)).otherwise(F.lit(1 - tau)) / F.greatest(F.abs(u), F.lit(eps * scale))
-
-    try:
-        beta, _ = irls(z, ye, xe, start.params, weight, 1e-7, max_iter)
-    except OptimizationFailed:
-        beta, _ = irls(z, ye, xe, start.params, lambda u: F.when(u >= 0, F.lit(tau)).otherwise(F.lit(1 - tau)) / F.greatest(F.abs(u), F.lit(1e-3 * scale)), 1e-5, max_iter)
+    def weight(e: float) -> Callable[[Column], Column]:
+        return lambda u: F.when(u >= 0, F.lit(tau)).otherwise(F.lit(1 - tau)) / F.greatest(F.abs(u), F.lit(e * scale))
+
+    # The kink is rounded less and less, each stage starting from the last: few iterations per stage.
+    beta, left, e = start.params, max_iter, 1e-1
+    while True:
+        for _ in range(min(8, left)):
+            left -= 1
+            a, b = _weighted_gram(z, ye, xe, weight(e)(ye - linear(beta, xe)))
+            new = solve_spd(a, b)
+            move = np.max(np.abs(new - beta)) / (1 + np.max(np.abs(beta)))
+            beta = new
+            if move <= e * 1e-2:
+                break
+        if e <= eps or left <= 0:
+            break
+        e = max(e / 10, eps)
     u = ye - linear(beta, xe)
     n = int(start.stats["n"])
     q = z.agg(F.percentile(u, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.stddev_samp(u).alias("s"), F.sum(u * (F.lit(tau) - F.when(u < 0, 1.0).otherwise(0.0))).alias("loss")).first()
@@ -405,8 +417,6 @@ def _system(df: DataFrame, designs: list, instruments: dict[str, Column] | None,
 
 def rolling_ols(df: DataFrame, y: str, x: Sequence[str], window: int, order_by: Sequence[str], *, partition_by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Coefficients over the last `window` rows: windowed cross moments per row, solved in Arrow batches."""
-    import pandas as pd
-
     z = [F.lit(1.0), *[col(c).cast("double") for c in x], col(y).cast("double")]
     w_ = col(weight).cast("double") if weight else F.lit(1.0)
     k = len(x) + 1
@@ -416,13 +426,14 @@ def rolling_ols(df: DataFrame, y: str, x: Sequence[str], window: int, order_by:
     m = m.where(F.col(o.pos) >= window - 1)
     names = ["const", *x]
 
-    def kernel(*s: pd.Series) -> pd.DataFrame:
-        a, b = np.zeros((len(s[0]), k, k)), np.zeros((len(s[0]), k))
-        for (i, j), v in zip(pairs, s, strict=True):
+    def kernel(s: pd.Series) -> pd.DataFrame:
+        m = np.array(s.tolist(), float).reshape(len(s), len(pairs))
+        a, b = np.zeros((len(s), k, k)), np.zeros((len(s), k))
+        for c, (i, j) in enumerate(pairs):
             if j < k:
-                a[:, i, j] = a[:, j, i] = v
+                a[:, i, j] = a[:, j, i] = m[:, c]
             elif i < k:
-                b[:, i] = v
+                b[:, i] = m[:, c]
         out = np.full((len(b), k), np.nan)
         ok = np.linalg.cond(a) < 1e12 if len(b) else np.zeros(0, bool)
         if ok.any():
@@ -430,13 +441,11 @@ def rolling_ols(df: DataFrame, y: str, x: Sequence[str], window: int, order_by:
         return pd.DataFrame(out, columns=[f"b_{c}" for c in names])
 
     solve = F.pandas_udf(kernel, ", ".join(f"`b_{c}` double" for c in names))
-    return m.withColumn("_b", solve(*[F.col(f"m{i}_{j}") for i, j in pairs])).select(*[col(c) for c in df.columns], *[F.col("_b").getField(f"b_{c}").alias(f"b_{c}") for c in names])
+    return m.withColumn("_b", solve(F.array(*[F.col(f"m{i}_{j}") for i, j in pairs]))).select(*[col(c) for c in df.columns], *[F.col("_b").getField(f"b_{c}").alias(f"b_{c}") for c in names])
 
 
 def nls(df: DataFrame, y: str, x: Sequence[str], func: Callable[[np.ndarray, np.ndarray], np.ndarray], start: Sequence[float], *, tol: float = 1e-8, max_iter: int = 100) -> Fit:
     """Gauss-Newton with damping; func(params, X) gives predictions; J'J and J'r are added over Arrow batches."""
-    import pyarrow as pa
-
     src = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)], col(y).cast("double").alias("y"))
     k = len(start)
     beta = np.array(start, float)

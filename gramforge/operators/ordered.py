@@ -137,9 +137,9 @@ class Ordered:
         given = c.isNotNull() & (~F.isnan(c) if kind in ("double", "float") else F.lit(True))
         seen = F.when(given, F.struct(col(self.pos).alias("p"), c.alias("v")))
         carry, end, key = (free_name(n, [*x.columns, out]) for n in ("_carry", "_end", "_order"))
-        w = Window.partitionBy(*self._key_cols(), col(self.block)).orderBy(self.pos)
-        frame = w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
-        near = (F.last if forward else F.first)(seen, True).over(frame)
+        # Backwards in descending order: a frame that grows is one pass, one that shrinks would be read again for every row.
+        w = Window.partitionBy(*self._key_cols(), col(self.block)).orderBy(col(self.pos) if forward else col(self.pos).desc())
+        near = F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         ends = x.where(given).groupBy(*self._key_cols(), col(self.block)).agg((F.max if forward else F.min)(F.struct(col(self.pos).alias("p"), c.alias("v"))).alias(end))
         ends = ends.withColumn(key, col(self.block) if forward else -col(self.block))
         # Blocks without any given value have no summary; every block looks up the nearest earlier one.

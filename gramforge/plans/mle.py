@@ -83,6 +83,9 @@ def maximise(z: DataFrame, start: Sequence[float], kernel: Kernel, *, tol: float
     b = np.array(start, float)
     ll, g, h, op, n = derivatives(z, b, kernel)
     for _ in range(max_iter):
+        # The squared length of the gradient in the metric of the Hessian is twice the gain still to be had.
+        if np.linalg.eigvalsh(-h)[0] > 0 and g @ np.linalg.solve(-h, g) <= tol * 1e-2:
+            break
         vals, vecs = np.linalg.eigh(-h)
         floor = max(1e-10, 1e-9 * abs(vals).max())
         step = vecs @ ((vecs.T @ g) / np.maximum(np.abs(vals), floor))

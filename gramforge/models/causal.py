@@ -282,3 +282,20 @@ def t_learner_forest_effects(df: DataFrame, y: str, treated: str, x: Sequence[st
     a = random_forest(df.where(col(treated) == 1), y, x, **kwargs)
     b = random_forest(df.where(col(treated) == 0), y, x, **kwargs)
     return a.predict(b.predict(df, "__m0"), "__m1").withColumn("effect", F.col("__m1") - F.col("__m0")).drop("__m0", "__m1")
+
+
+def causal_forest(df: DataFrame, y: str, treated: str, x: Sequence[str], *, trees: int = 50, depth: int = 5, clip: float = 0.01, seed: int = 0) -> DataFrame:
+    """Residual-on-residual forest: outcome and treatment are residualised (linear and logit nuisances), then a forest predicts
+    (y - m) / (t - e) with weights (t - e)^2. Adds `effect`."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    m = fit_columns(df, col(y), {"const": F.lit(1.0)} | {c: col(c) for c in x}).predictor()
+    e = F.least(F.greatest(logit(df, f"{treated} ~ {' + '.join(x)}").predictor(), F.lit(clip)), F.lit(1 - clip))
+    r = col(treated) - e
+    d = VectorAssembler(inputCols=list(x), outputCol="__f").transform(df.withColumn("__y", (col(y) - m) / r).withColumn("__w", r * r))
+    model = RandomForestRegressor(featuresCol="__f", labelCol="__y", weightCol="__w", numTrees=trees, maxDepth=depth, seed=seed, predictionCol="effect").fit(d)
+    return model.transform(d).drop("__f", "__y", "__w")
+
+
+orthogonal_forest = causal_forest

@@ -461,3 +461,28 @@ def gam(df: DataFrame, y: str, smooth: Sequence[str], *, n_basis: int = 10, pena
     edf = float(np.trace(inv @ xx))
     s2 = ssr / (g.n - edf)
     return Fit(names, beta, s2 * inv @ xx @ inv, g.n - edf, {"n": g.n, "edf": edf, "sigma": math.sqrt(s2), "ssr": ssr}, list(x.values()))
+
+
+def stochastic_frontier(df: DataFrame, formula: str, cost: bool = False) -> Fit:
+    """Normal / half-normal frontier by maximum likelihood; last parameters ln sigma_v and ln sigma_u."""
+    sign = 1.0 if cost else -1.0
+
+    def ll(k: int):
+        def f(b, m):
+            sv, su = np.exp(b[k]), np.exp(b[k + 1])
+            s, lam = math.sqrt(sv * sv + su * su), su / sv
+            e = m[:, k] - m[:, :k] @ b[:k]
+            return math.log(2) - 0.5 * math.log(2 * math.pi) - math.log(s) - 0.5 * (e / s) ** 2 + _log_cdf(sign * e * lam / s)
+
+        return f
+
+    return _mle_fit(df, formula, ["ln_sigma_v", "ln_sigma_u"], lambda ls, head: [*ls, 0.5 * math.log(head[1] / 2 + 1e-12), 0.5 * math.log(head[1] / 2 + 1e-12)], ll)
+
+
+def panel_tobit(df: DataFrame, formula: str, entity: str, lower: float = 0.0) -> Fit:
+    """Correlated-effects tobit: entity means of the regressors stand in for the effects (Mundlak)."""
+    f = Formula.parse(formula)
+    x = [t[0].name for t in f.terms]
+    means = df.groupBy(col(entity)).agg(*[F.avg(col(c)).alias(f"mean_{c}") for c in x])
+    wide = df.join(means, entity)
+    return tobit(wide, f"{f.response} ~ {' + '.join([*x, *[f'mean_{c}' for c in x]])}", lower)

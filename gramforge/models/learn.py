@@ -225,3 +225,82 @@ def gaussian_process(x: np.ndarray, y: np.ndarray, at: np.ndarray, length: float
     c = np.linalg.cholesky(k(x, x) + noise * np.eye(len(x)))
     s = np.linalg.solve(c, k(x, at))
     return s.T @ np.linalg.solve(c, y), signal - (s * s).sum(0)
+
+
+def spectral_clustering(edges: DataFrame, k: int, *, max_iter: int = 20) -> DataFrame:
+    """Clusters of a weighted graph (src, dst, weight; long ids) by power iteration; columns id, cluster."""
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    return PowerIterationClustering(k=k, maxIter=max_iter, weightCol="weight").assignClusters(edges)
+
+
+def mlp(df: DataFrame, y: str, names: Sequence[str], *, hidden: int = 8, epochs: int = 100, rate: float = 0.05, seed: int = 0) -> dict[str, object]:
+    """One sigmoid hidden layer for regression by full-batch Adam: every epoch adds the gradient over Arrow batches.
+
+    Inputs and response are standardised; `predict` maps a raw matrix to predictions.
+    """
+    z = project(df, [*[col(c) for c in names], col(y)])
+    p = len(names)
+    v = batch_sums(z, 2 * (p + 1) + 1, lambda m: np.concatenate([m.sum(0), (m * m).sum(0), [len(m)]]))
+    n = v[-1]
+    mean = v[: p + 1] / n
+    sd = np.sqrt(np.maximum(v[p + 1 : -1] / n - mean**2, 1e-12))
+    rng = np.random.default_rng(seed)
+    w = np.concatenate([rng.normal(0, 1 / math.sqrt(p + 1), (p + 1) * hidden), rng.normal(0, 1 / math.sqrt(hidden), hidden + 1)])
+
+    def parts(w: np.ndarray):
+        return w[: (p + 1) * hidden].reshape(p + 1, hidden), w[(p + 1) * hidden :]
+
+    def forward(w: np.ndarray, x: np.ndarray):
+        a, b = parts(w)
+        h = 1 / (1 + np.exp(-np.clip(x @ a[:-1] + a[-1], -30, 30)))
+        return h, h @ b[:-1] + b[-1]
+
+    def add(m: np.ndarray, w: np.ndarray) -> np.ndarray:
+        s = (m - mean) / sd
+        h, f = forward(w, s[:, :p])
+        e = f - s[:, p]
+        d = e[:, None] * parts(w)[1][:-1] * h * (1 - h)
+        return np.concatenate([(s[:, :p].T @ d).ravel(), d.sum(0), h.T @ e, [e.sum(), (e * e).sum()]])
+
+    m1, m2, loss = np.zeros_like(w), np.zeros_like(w), math.nan
+    for t in range(1, epochs + 1):
+        g = batch_sums(z, len(w) + 1, lambda m, w=w: add(m, w)) / n
+        loss, g = float(g[-1]), g[:-1]
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
+        w = w - rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+    return {"loss": loss, "predict": lambda x: forward(w, (np.asarray(x, float) - mean[:p]) / sd[:p])[1] * sd[p] + mean[p]}
+
+
+def tsne(x: np.ndarray, *, dims: int = 2, perplexity: float = 30.0, iters: int = 500, seed: int = 0, max_points: int = 3000) -> np.ndarray:
+    """Exact t-SNE of a bounded set of points."""
+    n = len(x)
+    if n > max_points:
+        raise InvalidOperation(f"over {max_points} points")
+    d = np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0)
+    p = np.zeros((n, n))
+    goal = math.log(min(perplexity, (n - 1) / 3))
+    for i in range(n):
+        lo, hi, b = 0.0, math.inf, 1.0
+        di = np.delete(d[i], i)
+        for _ in range(60):
+            w = np.exp(-(di - di.min()) * b)
+            s = w.sum()
+            h = math.log(s) + b * ((di - di.min()) * w).sum() / s
+            if abs(h - goal) < 1e-5:
+                break
+            lo, hi = (b, hi) if h > goal else (lo, b)
+            b = b * 2 if hi == math.inf else (lo + hi) / 2
+        p[i, np.arange(n) != i] = w / s
+    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+    rng = np.random.default_rng(seed)
+    y, v = rng.normal(0, 1e-4, (n, dims)), np.zeros((n, dims))
+    for t in range(iters):
+        q = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(-1))
+        np.fill_diagonal(q, 0)
+        w = (p * (12 if t < 100 else 1) - q / q.sum()) * q
+        g = 4 * (np.diag(w.sum(1)) - w) @ y
+        v = (0.5 if t < 100 else 0.8) * v - 100.0 * g
+        y = y + v
+        y -= y.mean(0)
+    return y

@@ -188,10 +188,10 @@ def pesaran_cd(df: DataFrame, residual: str, entity: str, time: str) -> tuple[fl
     The double sum over entities equals half of (sum_t (sum_i u_it)^2 - N) with u the entity's standardised residuals over
     sqrt(T), so no pair of entities is ever formed.
     """
-    stats = df.groupBy(col(entity)).agg(F.avg(col(residual)).alias("m"), F.stddev_pop(col(residual)).alias("s"), F.count(F.lit(1)).alias("t"))
+    stats = df.groupBy(col(entity)).agg(F.avg(col(residual)).alias("m"), F.stddev_pop(col(residual)).alias("s"), F.count(F.lit(1)).alias("__c"))
     j = join_on(df.select(col(entity), col(time), col(residual).alias("e")), stats, [entity]).where("s > 0")
-    per = j.select(col(time).alias("__t"), ((F.col("e") - F.col("m")) / F.col("s") / F.sqrt("t")).alias("u"), "t", F.lit(1).alias("one")).groupBy("__t").agg(F.sum("u").alias("u"))
-    n, t = stats.where("s > 0").agg(F.count(F.lit(1)), F.max("t")).first()
+    per = j.select(col(time).alias("__t"), ((F.col("e") - F.col("m")) / F.col("s") / F.sqrt("__c")).alias("u")).groupBy("__t").agg(F.sum("u").alias("u"))
+    n, t = stats.where("s > 0").agg(F.count(F.lit(1)), F.max("__c")).first()
     total = per.agg(F.sum(F.col("u") * F.col("u"))).first()[0]
     cd = math.sqrt(2 / (n * (n - 1))) * math.sqrt(t) * (total - n) / 2
     return cd, dist.norm_two_sided(cd)

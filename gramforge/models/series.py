@@ -450,3 +450,120 @@ def recursive_ls(y: np.ndarray, x: np.ndarray) -> np.ndarray:
         p = p - np.outer(g, x[i] @ p)
         out[i] = b
     return out
+
+
+def stochastic_volatility(y: np.ndarray) -> dict:
+    """Quasi-likelihood: log squared returns as an AR(1) state plus noise of variance pi^2/2, by the Kalman filter."""
+    if len(y) < 20:
+        raise ValueError("too short")
+    r = y - y.mean()
+    z = np.log(r * r + 1e-4 * r.var()) + 1.2703628454614782
+
+    def nll(b):
+        mu, phi, s2 = b[0], math.tanh(b[1]), math.exp(min(max(b[2], -30), 10))
+        h, p, out = mu, s2 / max(1 - phi * phi, 1e-6), 0.0
+        for v in z:
+            f = p + math.pi**2 / 2
+            e = v - h
+            out += 0.5 * (math.log(2 * math.pi * f) + e * e / f)
+            k = p / f
+            h, p = mu + phi * (h + k * e - mu), phi * phi * p * (1 - k) + s2
+        return out
+
+    b, f = nelder_mead(nll, [z.mean(), 1.5, -2.0], step=0.3, max_iter=400)
+    return {"mu": b[0], "phi": math.tanh(b[1]), "sigma2": math.exp(b[2]), "log_likelihood": -f}
+
+
+def tvp_regression(y: np.ndarray, x: np.ndarray) -> dict:
+    """Random-walk coefficients; the ratio of state to noise variance by likelihood, smoothed coefficients by row."""
+    k = x.shape[1]
+    ols = np.linalg.lstsq(x, y, rcond=None)[0]
+    s2 = float(np.square(y - x @ ols).mean())
+
+    def run(q, smooth=False):
+        a, p, ll = ols.copy(), np.eye(k) * 10.0, 0.0
+        ap, pp, af, pf = [], [], [], []
+        for t in range(len(y)):
+            p = p + np.eye(k) * q
+            ap.append(a)
+            pp.append(p)
+            f = x[t] @ p @ x[t] + 1.0
+            e = y[t] - x[t] @ a
+            g = p @ x[t] / f
+            a, p = a + g * e, p - np.outer(g, x[t] @ p)
+            af.append(a)
+            pf.append(p)
+            ll -= 0.5 * (math.log(2 * math.pi * f * s2) + e * e / (f * s2))
+        if not smooth:
+            return ll
+        out = [af[-1]]
+        for t in range(len(y) - 2, -1, -1):
+            out.append(af[t] + pf[t] @ np.linalg.solve(pp[t + 1], out[-1] - ap[t + 1]))
+        return np.array(out[::-1])
+
+    b, f = nelder_mead(lambda b: -run(math.exp(min(max(b[0], -25), 5))), [-4.0], step=1.0, max_iter=60)
+    q = math.exp(b[0])
+    return {"coefficients": run(q, True), "ratio": q, "log_likelihood": -f}
+
+
+def dcc_garch(y: np.ndarray) -> dict:
+    """Univariate GARCH(1,1) per column, then Engle's dynamic correlations; y has one row per period."""
+    n, m = y.shape
+    z = np.empty((n, m))
+    for i in range(m):
+        g = garch(y[:, i])
+        r = y[:, i] - y[:, i].mean()
+        z[:, i] = r / np.sqrt(_garch_path(r * r, r, np.array([g["omega"], g["alpha"], g["beta"]]), "garch", float(r.var())))
+    s = np.corrcoef(z.T)
+
+    def path(a, b):
+        q, out = s.copy(), np.empty((n, m, m))
+        for t in range(n):
+            d = np.sqrt(np.diag(q))
+            out[t] = q / np.outer(d, d)
+            q = (1 - a - b) * s + a * np.outer(z[t], z[t]) + b * q
+        return out
+
+    def nll(v):
+        if v[0] < 0 or v[1] < 0 or v.sum() >= 0.999:
+            return math.inf
+        r = path(*v)
+        return 0.5 * float((np.linalg.slogdet(r)[1] + np.einsum("ti,tij,tj->t", z, np.linalg.inv(r), z)).sum())
+
+    v, f = nelder_mead(nll, [0.03, 0.9], step=0.03, max_iter=150)
+    return {"a": v[0], "b": v[1], "correlations": path(*v), "quasi_log_likelihood": -f}
+
+
+def dynamic_factor(y: np.ndarray, factors: int = 1) -> dict:
+    """Two steps: principal components with a VAR(1), then Kalman smoothing of the factors."""
+    z = (y - y.mean(0)) / y.std(0)
+    _, v = np.linalg.eigh(np.cov(z.T))
+    load = v[:, ::-1][:, :factors] * math.sqrt(z.shape[1])
+    f = z @ load / z.shape[1]
+    a = np.linalg.lstsq(f[:-1], f[1:], rcond=None)[0].T
+    q = np.cov((f[1:] - f[:-1] @ a.T).T).reshape(factors, factors)
+    h = np.diag(np.maximum((z - f @ load.T).var(0), 1e-6))
+    out = kalman_filter(z, a, load, q, h, np.zeros(factors), np.eye(factors))
+    return {"factors": out["smoothed"], "loadings": load, "transition": a, "log_likelihood": out["log_likelihood"]}
+
+
+def fmols(y: np.ndarray, x: np.ndarray) -> dict:
+    """Fully modified least squares with a Bartlett long-run covariance; x without the constant."""
+    n, k = x.shape
+    d = np.column_stack([np.ones(n), x])
+    b = np.linalg.lstsq(d, y, rcond=None)[0]
+    u = np.column_stack([(y - d @ b)[1:], np.diff(x, axis=0)])
+    u = u - u.mean(0)
+    lags = int(4 * (n / 100) ** (2 / 9))
+    g = [u[j:].T @ u[: len(u) - j] / len(u) for j in range(lags + 1)]
+    w = [1 - j / (lags + 1) for j in range(lags + 1)]
+    omega = g[0] + sum(w[j] * (g[j] + g[j].T) for j in range(1, lags + 1))
+    delta = sum(w[j] * g[j].T for j in range(lags + 1))
+    inv = np.linalg.inv(omega[1:, 1:])
+    yp = y[1:] - u[:, 1:] @ inv @ omega[1:, 0]
+    dp = delta[1:, 0] - delta[1:, 1:] @ inv @ omega[1:, 0]
+    x1 = d[1:]
+    a = np.linalg.inv(x1.T @ x1)
+    beta = a @ (x1.T @ yp - len(yp) * np.concatenate([[0.0], dp]))
+    s2 = omega[0, 0] - omega[0, 1:] @ inv @ omega[1:, 0]
+    return {"params": beta, "std_errors": np.sqrt(np.diag(a) * s2)}

@@ -468,3 +468,47 @@ def modwt(df: DataFrame, name: str, levels: int, order_by: Sequence[str]) -> Dat
         return out
 
     return o.with_neighbours(span, 0, make).drop(o.pos)
+
+
+def tvar(df: DataFrame, names: Sequence[str], lags: int, threshold: str, delay: int, order_by: Sequence[str], n_grid: int = 100, trim: float = 0.15) -> dict[str, object]:
+    """Two-regime threshold VAR: Grams per bin of the threshold variable in one job, the grid on the driver."""
+    d = lagged(df, list(dict.fromkeys([*names, threshold])), max(lags, delay), order_by)
+    q = F.col(f"{threshold}__l{delay}")
+    cuts = sorted(set(d.agg(F.percentile_approx(q, [trim + (1 - 2 * trim) * i / (n_grid - 1) for i in range(n_grid)], 100000)).first()[0]))
+    z = [F.lit(1.0), *[F.col(f"{c}__l{p}") for p in range(1, lags + 1) for c in names], *[col(c) for c in names]]
+    k, m = len(z), len(names)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    cell = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda e: e < q))
+    grams = np.zeros((len(cuts) + 1, k, k))
+    for r in d.groupBy(cell.alias("c")).agg(*[F.sum(z[i] * z[j]).alias(f"m{i}_{j}") for i, j in pairs]).collect():
+        for i, j in pairs:
+            grams[r["c"], i, j] = grams[r["c"], j, i] = r[f"m{i}_{j}"]
+    low, total = np.cumsum(grams, axis=0), grams.sum(axis=0)
+    best: tuple = (math.inf, None, None, None)
+    for c in range(len(cuts)):
+        parts = []
+        for g in (low[c], total - low[c]):
+            if g[0, 0] <= k:
+                break
+            b = np.linalg.lstsq(g[:-m, :-m], g[:-m, -m:], rcond=None)[0]
+            parts.append((b, g[-m:, -m:] - b.T @ g[:-m, -m:]))
+        if len(parts) == 2:
+            ld = float(np.linalg.slogdet((parts[0][1] + parts[1][1]) / total[0, 0])[1])
+            if ld < best[0]:
+                best = (ld, float(cuts[c]), parts[0][0], parts[1][0])
+    return {"log_det": best[0], "threshold": best[1], "low": best[2], "high": best[3]}
+
+
+def quantile_var(df: DataFrame, names: Sequence[str], lags: int, tau: float, order_by: Sequence[str]) -> dict[str, Fit]:
+    """One quantile regression per equation on all lags."""
+    from gramforge.models.linear import quantile_regression
+
+    d = lagged(df, names, lags, order_by)
+    rhs = " + ".join(f"{c}__l{p}" for p in range(1, lags + 1) for c in names)
+    return {c: quantile_regression(d, f"{c} ~ {rhs}", tau) for c in names}
+
+
+def mixed_frequency_var(df: DataFrame, low: Sequence[str], high: Sequence[str], period: str, lags: int) -> VAR:
+    """High-frequency columns are averaged to the low-frequency period, then a VAR."""
+    names = [*low, *high]
+    return VAR(df.groupBy(col(period)).agg(*[F.avg(col(c)).alias(c) for c in names]), names, lags, [period])

@@ -20,11 +20,11 @@ from gramforge.util import checkpoint, col
 
 
 def lagged(df: DataFrame, names: Sequence[str], lags: int, order_by: Sequence[str], *, drop: bool = True, also: int = 0) -> DataFrame:
-    """Columns c__l1..c__l{lags} for each name and `t` (position from 0); the first `lags + also` rows are dropped if asked."""
+    """Columns c__l1..c__l{lags} for each name and `__pos` (position from 0); the first `lags + also` rows are dropped if asked."""
     o = Ordered(df.select(*[col(c) for c in dict.fromkeys([*order_by, *names])]), list(order_by))
     x = o.with_neighbours(lags, 0, lambda w: {f"{c}__l{p}": F.lag(col(c), p).over(w) for p in range(1, lags + 1) for c in names})
-    x = x.withColumnRenamed(o.pos, "t")
-    return checkpoint(x.where(F.col("t") >= lags + also) if drop else x)
+    x = x.withColumnRenamed(o.pos, "__pos")
+    return checkpoint(x.where(F.col("__pos") >= lags + also) if drop else x)
 
 
 def lagmat(df: DataFrame, name: str, lags: int, order_by: Sequence[str]) -> DataFrame:
@@ -89,9 +89,9 @@ def phillips_perron(df: DataFrame, name: str, order_by: Sequence[str]) -> dict[s
     x = lagged(df, [name], 1, order_by)
     fit = fit_columns(x, col(name), {"const": F.lit(1.0), "level": F.col(f"{name}__l1")})
     n = int(fit.stats["n"])
-    e = x.select("t", (col(name) - fit.params[0] - fit.params[1] * F.col(f"{name}__l1")).alias("e"))
+    e = x.select("__pos", (col(name) - fit.params[0] - fit.params[1] * F.col(f"{name}__l1")).alias("e"))
     lags = int(n**0.25)
-    r = _autocov(e, "e", lags, ["t"], centre=False)
+    r = _autocov(e, "e", lags, ["__pos"], centre=False)
     lrv = r[0] + 2 * sum((1 - p / (lags + 1)) * r[p] for p in range(1, lags + 1))
     t = (fit.params[1] - 1) / fit.se[1]
     s2 = fit.stats["sigma"] ** 2
@@ -108,14 +108,14 @@ def _autocov(df: DataFrame, name: str, lags: int, order_by: Sequence[str], centr
 
 def kpss(df: DataFrame, name: str, order_by: Sequence[str], kind: str = "c") -> dict[str, float]:
     o = Ordered(df.where(col(name).isNotNull()).select(*[col(c) for c in dict.fromkeys([*order_by, name])]), list(order_by))
-    x = checkpoint(o.rows().withColumnRenamed(o.pos, "t"))
+    x = checkpoint(o.rows().withColumnRenamed(o.pos, "__pos"))
     n = x.count()
-    fit = fit_columns(x, col(name), {"const": F.lit(1.0)} | ({"t": F.col("t").cast("double")} if kind == "ct" else {}))
-    e = checkpoint(x.select("t", (col(name) - fit.predictor()).alias("e")))
+    fit = fit_columns(x, col(name), {"const": F.lit(1.0)} | ({"trend": F.col("__pos").cast("double")} if kind == "ct" else {}))
+    e = checkpoint(x.select("__pos", (col(name) - fit.predictor()).alias("e")))
     lags = int(12 * (n / 100) ** 0.25)
-    r = _autocov(e, "e", lags, ["t"], centre=False)
+    r = _autocov(e, "e", lags, ["__pos"], centre=False)
     lrv = r[0] + 2 * sum((1 - p / (lags + 1)) * r[p] for p in range(1, lags + 1))
-    s = Ordered(e, ["t"]).cumsum("e").agg(F.sum(F.pow(F.col("e_cumsum"), 2))).first()[0]
+    s = Ordered(e, ["__pos"]).cumsum("e").agg(F.sum(F.pow(F.col("e_cumsum"), 2))).first()[0]
     c = KPSS_CRITICAL[kind]
     return {"statistic": s / (n * n * lrv), "lags": lags, "crit_1": c[0], "crit_5": c[1], "crit_10": c[2]}
 
@@ -149,15 +149,15 @@ def zivot_andrews(df: DataFrame, name: str, order_by: Sequence[str], trim: float
     """Least t over a grid of breaks in the level; the break dummy's cross products are suffix sums, added per block in one job."""
     x = lagged(df, [name], lags + 1, order_by)
     lag = lambda p: F.col(f"{name}__l{p}") if p else col(name)
-    z = {"const": F.lit(1.0), "trend": F.col("t").cast("double"), "level": lag(1)} | {f"d{p}": lag(p) - lag(p + 1) for p in range(1, lags + 1)} | {"y": lag(0) - lag(1)}
-    n0, n1 = x.agg(F.min("t"), F.max("t")).first()
+    z = {"const": F.lit(1.0), "trend": F.col("__pos").cast("double"), "level": lag(1)} | {f"d{p}": lag(p) - lag(p + 1) for p in range(1, lags + 1)} | {"y": lag(0) - lag(1)}
+    n0, n1 = x.agg(F.min("__pos"), F.max("__pos")).first()
     n = n1 - n0 + 1
     trim = min(max(trim, 0.05), 0.25)
     breaks = sorted({n0 + int(n * (trim + (1 - 2 * trim) * i / 199)) for i in range(200)})
     names = list(z)
     cell = F.lit(0)
     edges = F.array(*[F.lit(b) for b in breaks])
-    cell = F.size(F.filter(edges, lambda e: e < F.col("t")))
+    cell = F.size(F.filter(edges, lambda e: e < F.col("__pos")))
     cols = x.select(cell.alias("c"), *[e.cast("double").alias(f"z{i}") for i, e in enumerate(z.values())])
     sums = {r["c"]: np.array([r["n"], *[r[f"s{i}"] for i in range(len(names))]], float) for r in cols.groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(len(names))]).collect()}
     g = gram(x, z).raw
@@ -184,7 +184,7 @@ def zivot_andrews(df: DataFrame, name: str, order_by: Sequence[str], trim: float
 
 def autoreg(df: DataFrame, name: str, lags: int, order_by: Sequence[str], *, trend: str = "c") -> Fit:
     x = lagged(df, [name], lags, order_by)
-    det = ({"const": F.lit(1.0)} if "c" in trend else {}) | ({"trend": F.col("t").cast("double")} if "t" in trend else {})
+    det = ({"const": F.lit(1.0)} if "c" in trend else {}) | ({"trend": F.col("__pos").cast("double")} if "t" in trend else {})
     return fit_columns(x, col(name), det | {f"L{p}.{name}": F.col(f"{name}__l{p}") for p in range(1, lags + 1)})
 
 
@@ -333,8 +333,8 @@ def varma(df: DataFrame, names: Sequence[str], p: int, q: int, order_by: Sequenc
             for j, b in enumerate(names):
                 e = e + F.lit(float(first.coefs[lag - 1][i, j])) * F.col(f"{b}__l{lag}")
         preds[c] = e
-    r = checkpoint(d.select("t", *[col(c) for c in names], *[(col(c) - e).alias(f"{c}__e") for c, e in preds.items()]))
-    z = lagged(r, [*names, *[f"{c}__e" for c in names]], max(p, q), ["t"]) if max(p, q) else r
+    r = checkpoint(d.select("__pos", *[col(c) for c in names], *[(col(c) - e).alias(f"{c}__e") for c, e in preds.items()]))
+    z = lagged(r, [*names, *[f"{c}__e" for c in names]], max(p, q), ["__pos"]) if max(p, q) else r
     x = {"const": F.lit(1.0)} | {f"{c}.L{i}": F.col(f"{c}__l{i}") for i in range(1, p + 1) for c in names} | {f"{c}.MA{i}": F.col(f"{c}__e__l{i}") for i in range(1, q + 1) for c in names}
     return np.array([fit_columns(z, col(c), x).params for c in names]).T
 

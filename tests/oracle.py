@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 
 def connect(sf):
@@ -14,7 +15,7 @@ def connect(sf):
 
 def _norm(df):
     def one(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         if isinstance(v, bool) or not hasattr(v, "__float__"):
             return str(v)

@@ -385,3 +385,54 @@ def panel_var(df: DataFrame, names: Sequence[str], entity: str, time: str, lags:
     k = len(xs)
     a = np.linalg.solve(w[:k, :k], w[:k, k:])
     return a, (w[k:, k:] - a.T @ w[:k, k:]) / (n - g - k)
+
+
+def panel_gls(df: DataFrame, y: str, x: Sequence[str], entity: str) -> Fit:
+    """Feasible GLS for groupwise heteroskedasticity: weights from the pooled residuals' variance per entity."""
+    reg = {"const": F.lit(1.0)} | {c: col(c) for c in x}
+    pool = fit_columns(df, col(y), reg)
+    e = col(y) - pool.predictor()
+    v = df.groupBy(col(entity)).agg((1 / F.greatest(F.avg(e * e), F.lit(1e-12))).alias("__w"))
+    j = join_on(df.select(col(entity), *[col(c) for c in dict.fromkeys([*x, y])]), v, [entity])
+    return fit_columns(j, col(y), reg, weight=F.col("__w"))
+
+
+def panel_heckman(df: DataFrame, formula: str, selection: str, entity: str) -> tuple[Fit, Fit]:
+    """Two-step selection model with entity means of the selection regressors (Mundlak-Chamberlain) in both equations."""
+    from gramforge.formula import Formula
+    from gramforge.models.glm import heckman
+
+    f, s = Formula.parse(formula), Formula.parse(selection)
+    z = list(dict.fromkeys(t[0].name for t in s.terms))
+    means = df.groupBy(col(entity)).agg(*[F.avg(col(c)).alias(f"mean_{c}") for c in z])
+    wide = join_on(df, means, [entity])
+    extra = " + ".join(f"mean_{c}" for c in z)
+    return heckman(wide, f"{f.response} ~ {' + '.join(t[0].name for t in f.terms)} + {extra}", f"{s.response} ~ {' + '.join(z)} + {extra}")
+
+
+def factor_panel(df: DataFrame, y: str, x: Sequence[str], entity: str, factors: int) -> Fit:
+    """Regressors are replaced by their principal components, then the within estimator."""
+    from gramforge.models.multivariate import PCA
+
+    z = PCA.fit(df, x, factors).transform(df.select(col(entity), *[col(c) for c in dict.fromkeys([*x, y])]), "factor")
+    return fixed_effects(z, y, [f"factor{i + 1}" for i in range(factors)], entity)
+
+
+def pstr(df: DataFrame, y: str, x: Sequence[str], transition: str, entity: str, *, n_centres: int = 10, slopes: Sequence[float] = (1.0, 5.0, 20.0), trim: float = 0.1) -> dict[str, float]:
+    """Panel smooth transition: x b + g(q) x d with logistic g over a grid of slopes and centres; every grid point is one two-level job."""
+    k = len(x)
+    sd, qs = df.agg(F.stddev_samp(col(transition)), F.percentile_approx(col(transition), [trim + (1 - 2 * trim) * i / (n_centres - 1) for i in range(n_centres)], 100000)).first()
+    base = checkpoint(df.select(col(entity), (col(transition) / F.lit(sd or 1.0)).alias("__q"), *[col(c).cast("double").alias(f"z{i}") for i, c in enumerate([*x, y])]))
+    best = None
+    for gamma in slopes:
+        for c in sorted(set(qs)):
+            g = 1 / (1 + F.exp(-F.lit(gamma) * (F.col("__q") - float(c) / (sd or 1.0))))
+            z = base.select(col(entity), *[F.col(f"z{i}") for i in range(k)], *[(F.col(f"z{i}") * g).alias(f"z{k + i}") for i in range(k)], F.col(f"z{k}").alias(f"z{2 * k}"))
+            _, _, t, b, _, _ = group_moments(z, entity, 2 * k + 1)
+            w = t - b
+            beta = np.linalg.lstsq(w[:-1, :-1], w[:-1, -1], rcond=None)[0]
+            ssr = float(w[-1, -1] - beta @ w[:-1, -1])
+            if best is None or ssr < best[0]:
+                best = (ssr, float(c), gamma, beta)
+    ssr, c, gamma, beta = best
+    return {"centre": c, "slope": gamma, "ssr": ssr} | {f"{v}_low": float(beta[i]) for i, v in enumerate(x)} | {f"{v}_change": float(beta[k + i]) for i, v in enumerate(x)}

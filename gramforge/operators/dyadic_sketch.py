@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gramforge.errors import InvalidOperation
-from gramforge.util import col, require
+from gramforge.util import col, reject_clash, require
+
+
+CELL_COLUMNS = ("level", "row", "cell", "n")
 
 
 @dataclass(frozen=True)
@@ -86,8 +89,7 @@ def build_sketch(df: DataFrame, groups: Sequence[str], value: str, *, shape: Ske
     empty table gives an empty sketch. Other columns of `df` are not carried along;
     a group column may not be named level, row, cell or n.
     """
-    if clash := [g for g in groups if g.lower() in ("level", "row", "cell", "n")]:
-        raise InvalidOperation(f"group columns named like sketch columns: {clash}")
+    reject_clash(groups, CELL_COLUMNS)
     require(df, *groups, value, *([weight] if weight else []))
     g = [f"_g{i}" for i in range(len(groups))]
     v = col(value).cast("double")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gramforge.errors import InvalidOperation
 from gramforge.plans.scan import carry_last
-from gramforge.util import col, join_on, require
+from gramforge.util import col, join_on, reject_clash, require
 
 
 def regular_grid(df: DataFrame, keys: Sequence[str], time: str, step: str | int, value: str, *, valid: Column | None = None, method: str = "linear", shard_slots: int = 4096, fan: int = 4096) -> DataFrame:
@@ -31,9 +31,7 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time: str, step: str | int,
     carried along, so their names cannot clash, but a key may not be named like a result column.
     An empty table, or one without readings, gives no rows.
     """
-    made = ("slot", "slot_start", "slot_value", "n_readings", "was_missing")
-    if clash := [k for k in keys if k.lower() in made]:
-        raise InvalidOperation(f"key columns named like result columns: {clash}")
+    reject_clash(keys, ("slot", "slot_start", "slot_value", "n_readings", "was_missing"))
     if method not in ("linear", "locf", "mark"):
         raise InvalidOperation(f"unknown method {method!r}")
     require(df, *keys, time, value)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterable
 
@@ -30,6 +32,13 @@ def require(df: DataFrame, *names: str) -> None:
             raise VariableNotFound(f"column {n!r} not in {df.columns}")
 
 
+def reject_clash(names: Iterable[str], made: Iterable[str]) -> None:
+    """An error if a kept column is named like a result column (case ignored)."""
+    taken = {m.lower() for m in made}
+    if clash := [n for n in names if n.lower() in taken]:
+        raise InvalidOperation(f"columns named like result columns: {clash}")
+
+
 def is_missing(df: DataFrame, name: str) -> Column:
     """NULL, or NaN in a floating column."""
     c = col(name)
@@ -59,7 +68,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise InvalidOperation("set spark.checkpoint.dir to a folder shared by all executors")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gramforge-ckpt-"))
+        own = tempfile.mkdtemp(prefix="gramforge-ckpt-")
+        atexit.register(shutil.rmtree, own, True)
+        sc.setCheckpointDir(own)
     elif sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
     return df.checkpoint()

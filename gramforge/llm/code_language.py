@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from gramforge.llm.code_lexer import code_only, plain, units
 from gramforge.llm.language_seed import CODE_SEED, SEED
-from gramforge.util import col, require
+from gramforge.util import col, reject_clash, require
 
 _TOKEN = re.compile(r"\S+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\Z")
@@ -175,10 +175,11 @@ def natural_language_units(df: DataFrame, *, model: LanguageModel | None = None,
 
     Result columns: the key column, `line_no` (from 1, by line feeds), `unit_kind` (comment or string), `lang`, `n_words`,
     `n_chars` (of the readable text) and `unit_text`. NULL or empty texts and unknown code kinds give no rows; repeated
-    files give their rows again; texts of any length are read whole; an empty table gives no rows.
+    files give their rows again; `key` may not be named like a result column; texts of any length are read whole; an empty table gives no rows.
     Equal shortest encodings and equal word counts go to the first language by name.
     """
     require(df, key, text, code_kind)
+    reject_clash([key], ("line_no", "unit_kind", "lang", "n_words", "n_chars", "unit_text"))
     model = fit_model(df, text=text, code_kind=code_kind, key=key, fit_files=fit_files, extra_words=extra_words) if model is None else model
     src = df.select(col(key).alias("k"), col(text).alias("t"), col(code_kind).alias("c"))
     kind = src.schema["k"].dataType

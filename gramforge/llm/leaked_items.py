@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gramforge.util import col, free_name, require
+from gramforge.util import col, free_name, reject_clash, require
 
 _MARKS = regex.compile(r"\p{M}+")
 _WORD = regex.compile(r"[\p{L}\p{Nd}]+")
@@ -144,12 +144,14 @@ def leaked_items(df: DataFrame, items: DataFrame, *, doc: str = "doc_id", text:
     of min_run words that the item has too), `item_overlap` (share of the item's words found in the document) and
     `answer_found` (NULL for an item without answer words). NULL and empty texts and items shorter than
     min_run words share nothing; repeated rows are looked at once per row and come out once; NULL
-    ids are compared like others. The items go to every task in blocks of at most `block_bytes`
+    ids are compared like others. The id columns may not be named like a result column; an item column named like the
+    document column gets an underscore. The items go to every task in blocks of at most `block_bytes`
     of text, one pass over the documents per block, so the index in a task is bounded
     however many items there are (a single item larger than a block is a block by itself).
     """
     require(df, doc, text)
     require(items, item, item_text, *([answer] if answer else []))
+    reject_clash([doc, item], ("bm25_score", "shared_runs", "item_overlap", "answer_found"))
     chosen = items.select(col(item).alias("i"), col(item_text).alias("t"), (col(answer) if answer else F.lit(None).cast("string")).alias("a")).distinct()
     size = chosen.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(1.5 * size / block_bytes)) if size > block_bytes else 1

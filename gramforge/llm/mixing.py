@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from gramforge.errors import InvalidOperation
 from gramforge.plans.scan import prefix_sum
-from gramforge.util import checkpoint, col, free_name, require
+from gramforge.util import checkpoint, col, free_name, reject_clash, require
 
 #: Fixed value: the public word-splitting pattern of the byte-level BPE vocabulary.
 BYTE_BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -128,10 +128,11 @@ def mix_sources(df: DataFrame, targets: DataFrame, *, ranks_file: str, doc: str
     `available_tokens`, `chosen_docs`, `chosen_copies`, `chosen_tokens`, `actual_share` (0 if nothing is chosen).
     Documents with a NULL or untargeted source are not chosen; repeated rows are documents
     of their own; an empty text has size 0 and is treated like others; an empty table gives an empty mixture.
-    Shares are met to within one document per source. The number of target sources is bounded by max_sources.
+    Shares are met to within one document per source. `doc` and `source` may not be named like another result column. The number of target sources is bounded by max_sources.
     """
     require(df, doc, text, source)
     require(targets, "source", "target_share", "max_repeats")
+    reject_clash([doc, source], ("n_tokens", "repeats", "copy_no", "shard", "position"))
     spark = df.sparkSession
     wanted = targets.limit(max_sources + 1).collect()
     names = [None if r["source"] is None else r["source"].strip().lower() for r in wanted]

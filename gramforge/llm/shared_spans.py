@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gramforge.errors import InvalidOperation
-from gramforge.util import checkpoint, col, require
+from gramforge.util import checkpoint, col, reject_clash, require
 
 #: Two primes below 2**31 and a base for each.
 _MODULI = ((2147483647, 1103515245), (2147483629, 862048943))
@@ -165,9 +165,10 @@ def shared_spans(df: DataFrame, *, doc: str = "doc_id", text: str = "text", min_
     Result columns: the document column, `span_start`, `span_end` (exclusive), in code points. Documents are told apart by
     `doc`; a stretch repeated only within one `doc` is not shared, and repeated rows of one `doc` count as one document.
     Rows with a NULL `doc` or text are left out, texts shorter than `min_len` and an empty table give no
-    rows. Texts of any length are read whole. Other columns of `df` are not carried along.
+    rows. Texts of any length are read whole. Other columns of `df` are not carried along; `doc` may not be named like a result column.
     """
     require(df, doc, text)
+    reject_clash([doc], ("span_start", "span_end"))
     if min_len < 2:
         raise InvalidOperation("min_len must be 2 or more")
     kind = df.schema[doc].dataType

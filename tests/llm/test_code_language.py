@@ -1,5 +1,6 @@
 import pytest
 
+from gramforge.errors import InvalidOperation
 from gramforge.llm.code_language import Identifier, extend_model, language_shares, natural_language_units, plain_words, seed_model
 from gramforge.llm.code_lexer import code_only, plain, units
 
@@ -72,3 +73,8 @@ def test_operator_edge_cases(spark):
     assert natural_language_units(df).count() == 3
     shares = {x["file_id"]: x for x in language_shares(df.dropDuplicates(["file_id"]), found.distinct()).collect()}
     assert shares[2]["lang"] is None and 0.5 < shares[1]["share_of_file"] < 1 and shares[1]["share_of_text"] == 1.0
+
+
+def test_id_named_like_a_result(spark):
+    with pytest.raises(InvalidOperation):
+        natural_language_units(spark.createDataFrame([(1, "x", "rust")], "lang long, body_text string, code_kind string"), key="lang")

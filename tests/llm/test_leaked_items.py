@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from gramforge.errors import InvalidOperation
 from gramforge.llm.leaked_items import ItemIndex, leaked_items, words
 
 
@@ -62,3 +65,11 @@ def test_run_across_passages_in_a_long_text(spark):
     for lead in (30, 40, 47, 5000):
         d = spark.createDataFrame([(1, "pad " * lead + q + " pad" * 20000)], "doc_id long, text string")
         assert leaked_items(d, items).count() == 1
+
+
+def test_id_columns(spark):
+    docs, items = _tables(spark)
+    same = leaked_items(docs.select("doc_id", "text"), items.withColumnRenamed("item_id", "doc_id"), item="doc_id")
+    assert same.columns[:2] == ["doc_id", "doc_id_"]
+    with pytest.raises(InvalidOperation):
+        leaked_items(docs.withColumnRenamed("doc_id", "shared_runs"), items, doc="shared_runs")

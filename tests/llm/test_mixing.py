@@ -72,3 +72,9 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "hello world"), (4, "<|endoftext|>"), (5, "na" * 50_000)], "n_tokens long, text string")
     r = {x["n_tokens"]: x["n_tokens_"] for x in with_token_counts(df, "text", RANKS_FILE).collect()}
     assert r[1] == 0 and r[2] == 0 and r[3] == 2 and r[4] > 1 and r[5] > 1000
+
+
+def test_id_named_like_a_result(spark):
+    targets = spark.createDataFrame([("a", 1.0, None)], TARGET)
+    with pytest.raises(InvalidOperation):
+        mix_sources(_docs(spark), targets, ranks_file=RANKS_FILE, doc="shard")

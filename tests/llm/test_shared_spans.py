@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from gramforge.errors import InvalidOperation
 from gramforge.llm import shared_spans as ss
 from gramforge.llm.shared_spans import RollingHash, shared_share, shared_spans
 
@@ -98,3 +99,8 @@ def test_very_long_text_and_many_copies(spark):
     df = spark.createDataFrame([(1, long), *copies], "doc_id string, text string")
     got = {tuple(r) for r in shared_spans(df).collect()}
     assert got == {("1", 1000, 2000), *[(str(i), 0, 1000) for i, _ in copies]}
+
+
+def test_id_named_like_a_result(spark):
+    with pytest.raises(InvalidOperation):
+        shared_spans(spark.createDataFrame([(1, "x")], "Span_start long, text string"), doc="Span_start")

@@ -373,3 +373,38 @@ def test_frame_errors(spark):
         Frame(f.df).lag("a")
     assert f.mean()["a"] == 1.5 and f.n_rows() == 2 and f.has_column("b") and "3 columns" in f.info()
     assert Frame.builder(spark).add_int("a", [1]).add_string("s", ["x"]).build().df.dtypes == [("a", "bigint"), ("s", "string")]
+
+
+def test_more_panel_models(data):
+    df, pdf = data
+    assert panel.panel_gls(df, "y", ["x1", "x2"], "g").params[1:] == pytest.approx([2, -0.7], abs=0.15)
+    assert panel.factor_panel(df, "y", ["x1", "x2"], "g", 2).stats["ssr"] == pytest.approx(panel.fixed_effects(df, "y", ["x1", "x2"], "g").stats["ssr"])
+    bent = df.withColumn("y", F.col("y") + F.when(F.col("x2") > 2.5, 3 * F.col("x1")).otherwise(0.0))
+    s = panel.pstr(bent, "y", ["x1"], "x2", "g", n_centres=5, slopes=(20.0,))
+    assert s["x1_low"] == pytest.approx(2, abs=0.3) and s["x1_change"] == pytest.approx(3, abs=0.4) and abs(s["centre"] - 2.5) < 0.6
+    t = panel.panel_threshold(bent, "y", ["x1"], "x2", "g", n_grid=9)
+    assert t["x1_high"] - t["x1_low"] == pytest.approx(3, abs=0.5)
+
+
+def test_more_series_models(walk):
+    df, pdf = walk
+    v = timeseries.tvar(df, ["a", "b"], 1, "a", 1, ["t"], 10)
+    assert v["low"].shape == (3, 2) and np.isfinite(v["log_det"])
+    q = timeseries.quantile_var(df, ["a", "b"], 1, 0.5, ["t"])
+    assert q["a"].params[1:] == pytest.approx([0.5, 0.2], abs=0.2)
+    d = timeseries.vecm(df.withColumn("c", F.col("w") + F.col("b")), ["w", "c"], 1, 1, ["t"])
+    assert d["beta"][:, 0] == pytest.approx([1, -1], abs=0.1)
+
+
+def test_frontier_forest_and_network(spark):
+    rng = np.random.default_rng(8)
+    n = 1500
+    x = rng.normal(size=n)
+    y = 1 + 0.5 * x + 0.2 * rng.normal(size=n) - np.abs(rng.normal(size=n)) * 0.6
+    fit = glm.stochastic_frontier(spark.createDataFrame(pd.DataFrame({"x": x, "y": y})).repartition(4), "y ~ x")
+    assert fit.params[:2] == pytest.approx([1, 0.5], abs=0.12) and np.exp(fit.params[3]) == pytest.approx(0.6, abs=0.15)
+    t = (rng.uniform(size=n) < 0.5).astype(float)
+    z = spark.createDataFrame(pd.DataFrame({"x": x, "t": t, "y": x + t * (x > 0) * 2 + rng.normal(size=n) * 0.2})).repartition(4)
+    e = causal.causal_forest(z, "y", "t", ["x"], trees=20).groupBy((F.col("x") > 0).alias("p")).agg(F.avg("effect").alias("m")).collect()
+    m = {r["p"]: r["m"] for r in e}
+    assert m[True] - m[False] == pytest.approx(2, abs=0.5)

@@ -98,6 +98,8 @@ def build_sketch(df: DataFrame, groups: Sequence[str], value: str, *, shape: Ske
     codes = df.where(fin).select(*[col(a).alias(b) for a, b in zip(groups, g, strict=True)], encode(v, shape).alias("code"), w.alias("w"))
     codes = codes.groupBy(*g, "code").agg(F.sum("w").alias("w"))
     s, d = shape.sketched, shape.depth
+    # Each code is about to become depth * levels rows: keep the full number of partitions, which adaptive coalescing by size would cut.
+    codes = codes.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     x = codes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(s * d))))
     x = x.withColumn("level", F.expr(f"cast(i div {d} as int)")).withColumn("row", F.expr(f"cast(i % {d} as int)"))
     x = x.withColumn("node", F.expr("shiftright(code, level)")).withColumn("h", F.xxhash64("node", F.col("i").cast("long")))

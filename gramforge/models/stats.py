@@ -330,9 +330,7 @@ def classification_table(df: DataFrame, y: str, score: str, threshold: float = 0
 def _roc_counts(df: DataFrame, y: str, score: str) -> DataFrame:
     """Per score: positives and negatives; then running totals from the top score."""
     c = df.groupBy(col(score).alias("s")).agg(F.sum(F.when(col(y) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(col(y) == 1, 0).otherwise(1)).alias("q"))
-    one = Ordered(c, [F.col("s").desc()])
-    run = one.cumsum("p")
-    return Ordered(run, [F.col("s").desc()]).cumsum("q").select("s", "p", "q", "p_cumsum", "q_cumsum")
+    return Ordered(c, [F.col("s").desc()]).cumsum("p", "q").select("s", "p", "q", "p_cumsum", "q_cumsum")
 
 
 def roc(df: DataFrame, y: str, score: str) -> DataFrame:

@@ -23,8 +23,7 @@ def kaplan_meier(df: DataFrame, duration: str, event: str, groups: Sequence[str]
     live = tot.where("deaths > 0")
     live = live.withColumn("l", F.when(F.col("deaths") < F.col("at_risk"), F.log1p(-F.col("deaths") / F.col("at_risk"))).otherwise(F.lit(-1e308)))
     live = live.withColumn("g", F.when(F.col("deaths") < F.col("at_risk"), F.col("deaths") / (F.col("at_risk") * (F.col("at_risk") - F.col("deaths")))).otherwise(0.0))
-    a = Ordered(live, ["time"], k).cumsum("l").drop("_pos")
-    b = Ordered(a, ["time"], k).cumsum("g").drop("_pos")
+    b = Ordered(live, ["time"], k).cumsum("l", "g")
     s = F.exp("l_cumsum")
     se = s * F.sqrt("g_cumsum")
     return b.select(*[col(g) for g in k], "time", "at_risk", "deaths", s.alias("survival"), se.alias("std_error"), F.greatest(F.lit(0.0), s - 1.96 * se).alias("ci_low"), F.least(F.lit(1.0), s + 1.96 * se).alias("ci_high"))

@@ -204,8 +204,7 @@ def nardl(df: DataFrame, y: str, x: str, y_lags: int, x_lags: int, order_by: Seq
     """ARDL on the cumulated positive and negative changes of x."""
     o = Ordered(df.select(*[col(c) for c in dict.fromkeys([*order_by, y, x])]), list(order_by))
     d = checkpoint(o.diff(x).withColumn("up", F.coalesce(F.greatest(F.col(f"{x}_diff_1"), F.lit(0.0)), F.lit(0.0))).withColumn("down", F.coalesce(F.least(F.col(f"{x}_diff_1"), F.lit(0.0)), F.lit(0.0))))
-    up = Ordered(d, list(order_by)).cumsum("up").drop("_pos")
-    both = Ordered(up, list(order_by)).cumsum("down").drop("_pos")
+    both = Ordered(d, list(order_by)).cumsum("up", "down")
     z = both.select(*[col(c) for c in order_by], col(y), F.col("up_cumsum").alias(f"{x}_pos"), F.col("down_cumsum").alias(f"{x}_neg"))
     return ardl(z, y, [f"{x}_pos", f"{x}_neg"], y_lags, x_lags, order_by)
 

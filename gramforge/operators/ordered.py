@@ -106,29 +106,32 @@ class Ordered:
         frame = lambda w: w.rowsBetween(-(window - 1), 0)
         return self.with_neighbours(window - 1, 0, lambda w: {f"{column}_rolling_{func}": F.when(col(self.pos) >= window - 1, agg[func](col(column)).over(frame(w)))})
 
-    def _running(self, column: str, out: str, agg: Callable, combine: Callable[[Column, Column], Column]) -> DataFrame:
-        """A running aggregate: inside blocks by a window, over blocks by a scan of block aggregates."""
+    def _running(self, columns: Sequence[str], suffix: str, agg: Callable, combine: Callable[[Column, Column], Column]) -> DataFrame:
+        """Running aggregates: inside blocks by a window, over blocks by a scan of block aggregates; any number of columns in one pass."""
         x = self._blocks(self.block_rows)
-        tot, run, carry = (free_name(n, [*x.columns, out]) for n in ("_tot", "_run", "_carry"))
+        outs = [f"{c}_{suffix}" for c in columns]
+        taken = [*x.columns, *outs]
+        tot, run, carry = ([free_name(f"{n}{i}", taken) for i in range(len(columns))] for n in ("_tot", "_run", "_carry"))
         here = Window.partitionBy(*self._key_cols(), col(self.block)).orderBy(self.pos).rowsBetween(Window.unboundedPreceding, 0)
         # Block aggregates are rows / block_rows in number; their own scan is a window of that size per key.
-        tots = x.groupBy(*self._key_cols(), col(self.block)).agg(agg(col(column)).alias(tot))
+        tots = x.groupBy(*self._key_cols(), col(self.block)).agg(*[agg(col(c)).alias(t) for c, t in zip(columns, tot, strict=True)])
         prev = Window.partitionBy(*self._key_cols()).orderBy(self.block).rowsBetween(Window.unboundedPreceding, -1)
-        tots = tots.select(*self._key_cols(), col(self.block), agg(col(tot)).over(prev).alias(carry))
-        x = self._join(x.withColumn(run, agg(col(column)).over(here)), tots, [self.block])
-        return x.select(*[col(c) for c in self.source], col(self.pos), F.when(col(carry).isNull(), col(run)).when(col(run).isNull(), col(carry)).otherwise(combine(col(carry), col(run))).alias(out))
+        tots = tots.select(*self._key_cols(), col(self.block), *[agg(col(t)).over(prev).alias(c) for t, c in zip(tot, carry, strict=True)])
+        x = self._join(x.select("*", *[agg(col(c)).over(here).alias(r) for c, r in zip(columns, run, strict=True)]), tots, [self.block])
+        made = [F.when(col(c).isNull(), col(r)).when(col(r).isNull(), col(c)).otherwise(combine(col(c), col(r))).alias(o) for c, r, o in zip(carry, run, outs, strict=True)]
+        return x.select(*[col(c) for c in self.source], col(self.pos), *made)
 
-    def cumsum(self, column: str) -> DataFrame:
-        return self._running(column, f"{column}_cumsum", F.sum, lambda a, b: a + b)
+    def cumsum(self, *columns: str) -> DataFrame:
+        return self._running(columns, "cumsum", F.sum, lambda a, b: a + b)
 
-    def cumprod(self, column: str) -> DataFrame:
-        return self._running(column, f"{column}_cumprod", F.product, lambda a, b: a * b)
+    def cumprod(self, *columns: str) -> DataFrame:
+        return self._running(columns, "cumprod", F.product, lambda a, b: a * b)
 
-    def cummax(self, column: str) -> DataFrame:
-        return self._running(column, f"{column}_cummax", F.max, lambda a, b: F.greatest(a, b))
+    def cummax(self, *columns: str) -> DataFrame:
+        return self._running(columns, "cummax", F.max, lambda a, b: F.greatest(a, b))
 
-    def cummin(self, column: str) -> DataFrame:
-        return self._running(column, f"{column}_cummin", F.min, lambda a, b: F.least(a, b))
+    def cummin(self, *columns: str) -> DataFrame:
+        return self._running(columns, "cummin", F.min, lambda a, b: F.least(a, b))
 
     def _edge(self, x: DataFrame, column: str, forward: bool, out: str) -> DataFrame:
         """Nearest given (position, value) at or before (forward) or at or after each row."""

@@ -7,15 +7,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramforge import dist
-from gramforge.errors import InvalidOperation, ShapeMismatch
+from gramforge.errors import InvalidOperation, OptimizationFailed, ShapeMismatch, SingularMatrix
 from gramforge.models.linear import Cov, fit_columns, iv, sandwich
 from gramforge.models.results import Fit
 from gramforge.operators.ordered import Ordered
-from gramforge.plans.moments import gram, inverse_spd, linear
+from gramforge.plans.moments import gram, inverse_spd, linear, solve_spd
 from gramforge.util import checkpoint, col, join_on
 
 
@@ -329,28 +329,72 @@ def system_gmm(df: DataFrame, y: str, x: Sequence[str], entity: str, time: str,
     return arellano_bond(df, y, x, entity, time, system=True, **kwargs)
 
 
-def panel_threshold(df: DataFrame, y: str, x: Sequence[str], threshold: str, entity: str, *, n_grid: int = 50, trim: float = 0.1) -> dict[str, float]:
-    """One threshold, two regimes with own slopes. All grid points share one job: per entity and bin of the threshold variable the
-    sums are added once, and the driver accumulates bins."""
+def panel_threshold(df: DataFrame, y: str, x: Sequence[str], threshold: str, entity: str, *, n_grid: int | None = None, trim: float = 0.15) -> dict[str, float]:
+    """One threshold, two regimes with own slopes. Every distinct threshold value between the trimmed ends is tried; above 300 of them
+    every (number / 100)-th (the reference's rule), and with `n_grid` at most that many.
+
+    All candidates share one job: sums per entity and bin of the threshold variable, running sums over an entity's bins
+    (no more than candidates + 1), then sums per bin, which the driver accumulates.
+    """
     k = len(x)
-    qs = [trim + (1 - 2 * trim) * i / (n_grid - 1) for i in range(n_grid)]
-    cuts = sorted(set(df.agg(F.percentile_approx(col(threshold), qs, 100000)).first()[0]))
+    q = col(threshold).cast("double")
+    first = df.agg(F.avg(col(y).cast("double")).alias("m"), F.count_if(q.isNull() | F.isnan(q)).alias("bad")).first()
+    if first["bad"]:
+        raise InvalidOperation(f"{first['bad']} rows hold no threshold value")
+    values = Ordered(df.select(q.alias("q")).distinct(), ["q"])
+    n_values = values.rows().count()
+    cut = math.ceil(n_values * trim)
+    n_tried = n_values - 2 * cut
+    if n_tried < 5:
+        raise OptimizationFailed("not enough distinct values of the threshold variable")
+    step = n_tried // 100 if n_tried > 300 else 1
+    if n_grid is not None:
+        step = max(step, math.ceil(n_tried / n_grid))
+    at = F.col(values.pos) - cut
+    cuts = sorted(r["q"] for r in values.rows().where((at >= 0) & (at < n_tried) & (at % step == 0)).collect())
+    cell = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda e: e < q))
+    # Entity effects absorb a shift of y, but not of x, whose regimes change over time.
+    v = [*[col(c).cast("double") for c in x], col(y).cast("double") - float(first["m"])]
+    z = df.select(col(entity).alias("e"), cell.alias("c"), *[e.alias(f"z{i}") for i, e in enumerate(v)])
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    z = z.groupBy("e", "c").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"z{i}").alias(f"d{i}") for i in range(k + 1)], *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"q{i}_{j}") for i, j in pairs])
+    whole = Window.partitionBy("e")
+    before = whole.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    z = z.select(
+        "*", F.sum("n").over(whole).alias("m"), *[F.sum(f"d{i}").over(whole).alias(f"s{i}") for i in range(k + 1)],
+        *[F.coalesce(F.sum(f"d{i}").over(before), F.lit(0.0)).alias(f"l{i}") for i in range(k)],
+    )
+    low = [(i, j) for i in range(k) for j in range(i, k)]
+    grown = {(i, j): (F.col(f"l{i}") * F.col(f"d{j}") + F.col(f"d{i}") * F.col(f"l{j}") + F.col(f"d{i}") * F.col(f"d{j}")) / F.col("m") for i, j in low}
+    rows = z.groupBy("c").agg(
+        *[F.sum(f"q{i}_{j}").alias(f"q{i}_{j}") for i, j in pairs], *[F.sum(e).alias(f"u{i}_{j}") for (i, j), e in grown.items()],
+        *[F.sum(F.col(f"d{i}") * F.col(f"s{j}") / F.col("m")).alias(f"b{i}_{j}") for i in range(k + 1) for j in range(k + 1)],
+    ).collect()
+    own, square, mixed = np.zeros((len(cuts) + 1, k + 1, k + 1)), np.zeros((len(cuts) + 1, k, k)), np.zeros((len(cuts) + 1, k + 1, k + 1))
+    for r in rows:
+        for i, j in pairs:
+            own[r["c"], i, j] = own[r["c"], j, i] = r[f"q{i}_{j}"]
+        for i, j in low:
+            square[r["c"], i, j] = square[r["c"], j, i] = r[f"u{i}_{j}"]
+        mixed[r["c"]] = [[r[f"b{i}_{j}"] for j in range(k + 1)] for i in range(k + 1)]
+    total, between = own.sum(axis=0), mixed.sum(axis=0)
+    own, square, mixed = own.cumsum(axis=0), square.cumsum(axis=0), mixed.cumsum(axis=0)
     best = None
-    names = [*x, y]
-    base = df.select(col(entity), col(threshold).alias("__q"), *[col(c).cast("double").alias(f"z{i}") for i, c in enumerate(names)])
-    base = checkpoint(base)
-    for c in cuts:
-        low = (F.col("__q") <= F.lit(c)).cast("double")
-        z = base.select(col(entity), *[(F.col(f"z{i}") * low).alias(f"z{i}") for i in range(k)], *[(F.col(f"z{i}") * (1 - low)).alias(f"z{k + i}") for i in range(k)], F.col(f"z{k}").alias(f"z{2 * k}"))
-        n, g, t, b, _, _ = group_moments(z, entity, 2 * k + 1)
-        w = t - b
+    for c, value in enumerate(cuts):
+        ll, lh = own[c, :k, :k] - square[c], square[c] - mixed[c, :k, :k]
+        hh = (total - own[c])[:k, :k] - (between[:k, :k] - mixed[c, :k, :k] - mixed[c, :k, :k].T + square[c])
+        a = np.block([[ll, lh], [lh.T, hh]])
+        ly = own[c, :k, k] - mixed[c, :k, k]
+        b = np.concatenate([ly, total[:k, k] - between[:k, k] - ly])
         try:
-            beta = np.linalg.solve(w[:-1, :-1], w[:-1, -1])
-        except np.linalg.LinAlgError:
+            beta = solve_spd(a, b)
+        except SingularMatrix:
             continue
-        ssr = float(w[-1, -1] - beta @ w[:-1, -1])
+        ssr = float(total[k, k] - between[k, k] - beta @ b)
         if best is None or ssr < best[0]:
-            best = (ssr, c, beta)
+            best = (ssr, value, beta)
+    if best is None:
+        raise OptimizationFailed("no threshold gives two estimable regimes")
     ssr, c, beta = best
     return {"threshold": float(c), "ssr": ssr} | {f"{v}_low": float(beta[i]) for i, v in enumerate(x)} | {f"{v}_high": float(beta[k + i]) for i, v in enumerate(x)}
 

@@ -7,6 +7,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -405,31 +406,64 @@ def deterministic_process(df: DataFrame, order_by: Sequence[str], terms: Sequenc
     return o.rows().select(*[col(c) for c in df.columns], *[e.alias(n) for n, e in out.items()])
 
 
-def setar(df: DataFrame, name: str, lags: int, delay: int, order_by: Sequence[str], n_grid: int = 100, trim: float = 0.15) -> dict[str, object]:
-    """Two-regime threshold autoregression: rows are binned by the threshold variable once, then Grams are accumulated over bins."""
+def setar(df: DataFrame, name: str, lags: int, delay: int, order_by: Sequence[str], trim: float = 0.15) -> dict[str, object]:
+    """Two-regime threshold autoregression: every distinct value of the threshold variable between the trimmed ends is tried.
+
+    Grams are added per distinct value, running sums over the sorted values give every lower regime, and each task
+    solves its own candidates; the least sum of squares (at ties the least threshold) is kept.
+    """
     d = lagged(df, [name], max(lags, delay), order_by)
-    q = F.col(f"{name}__l{delay}")
-    cuts = sorted(set(d.agg(F.percentile_approx(q, [trim + (1 - 2 * trim) * i / (n_grid - 1) for i in range(n_grid)], 100000)).first()[0]))
-    z = [F.lit(1.0), *[F.col(f"{name}__l{p}") for p in range(1, lags + 1)], col(name)]
-    k = len(z)
+    v = [*[f"{name}__l{p}" for p in range(1, lags + 1)], name]
+    k = lags + 2
+    m = d.agg(F.count(F.lit(1)).alias("n"), *[f(col(c)).alias(f"{a}{i}") for i, c in enumerate(v) for a, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    n = int(m["n"])
+    # The intercept absorbs a shift, so centred and scaled columns give the same fit without loss of digits.
+    mean, sd = np.array([m[f"m{i}"] for i in range(k - 1)]), np.array([m[f"s{i}"] or 1.0 for i in range(k - 1)])
+    z = [F.lit(1.0), *[(col(c) - float(mean[i])) / float(sd[i]) for i, c in enumerate(v)]]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    cell = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda e: e < q))
-    grams = np.zeros((len(cuts) + 1, k, k))
-    for r in d.groupBy(cell.alias("c")).agg(*[F.sum(z[i] * z[j]).alias(f"m{i}_{j}") for i, j in pairs]).collect():
-        for i, j in pairs:
-            grams[r["c"], i, j] = grams[r["c"], j, i] = r[f"m{i}_{j}"]
-    low, total = np.cumsum(grams, axis=0), grams.sum(axis=0)
-    best: tuple = (math.inf, None, None, None)
-    for c in range(len(cuts)):
-        parts = []
-        for g in (low[c], total - low[c]):
-            if g[0, 0] <= k:
-                break
-            b = np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=None)[0]
-            parts.append((b, g[-1, -1] - b @ g[:-1, -1]))
-        if len(parts) == 2 and parts[0][1] + parts[1][1] < best[0]:
-            best = (float(parts[0][1] + parts[1][1]), float(cuts[c]), parts[0][0], parts[1][0])
-    return {"ssr": best[0], "threshold": best[1], "low": best[2], "high": best[3], "n": int(total[0, 0])}
+    sums = [f"m{i}_{j}" for i, j in pairs]
+    by = d.groupBy(col(f"{name}__l{delay}").alias("q")).agg(*[F.sum(z[i] * z[j]).alias(c) for (i, j), c in zip(pairs, sums, strict=True)])
+
+    def square(x: np.ndarray) -> np.ndarray:
+        g = np.zeros((len(x), k, k))
+        for c, (i, j) in enumerate(pairs):
+            g[:, i, j] = g[:, j, i] = x[:, c]
+        return g
+
+    total = by.agg(*[F.sum(c).alias(c) for c in sums]).first()
+    total = square(np.array([[total[c] for c in sums]]))
+    cut = max(int(n * trim + 1e-9), k)
+    seen = F.col("m0_0_cumsum")
+    # Sorted positions of a value: seen - m0_0 to seen - 1.
+    tried = Ordered(by, ["q"]).cumsum(*sums).where((seen > cut) & (seen - F.col("m0_0") < n - cut) & (seen >= k) & (n - seen >= k))
+
+    def kernel(batches):
+        best = None
+        for b in batches:
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(sums) + 1)])
+            if not len(x):
+                continue
+            low, ssr, betas = square(x[:, 1:]), 0.0, []
+            for g in (low, total - low):
+                beta = (np.linalg.pinv(g[:, :-1, :-1], rcond=1e-12, hermitian=True) @ g[:, :-1, -1:])[..., 0]
+                ssr = ssr + np.maximum(g[:, -1, -1] - (beta * g[:, :-1, -1]).sum(1), 0)
+                betas.append(beta)
+            at = np.lexsort((x[:, 0], ssr))[0]
+            if best is None or (ssr[at], x[at, 0]) < best[:2]:
+                best = (float(ssr[at]), float(x[at, 0]), betas[0][at].tolist(), betas[1][at].tolist())
+        if best:
+            yield pa.RecordBatch.from_pydict({"ssr": [best[0]], "q": [best[1]], "low": [best[2]], "high": [best[3]]})
+
+    found = tried.select(col("q").cast("double").alias("q"), *[F.col(f"{c}_cumsum").alias(c) for c in sums]).mapInArrow(kernel, "ssr double, q double, low array<double>, high array<double>")
+    best = found.orderBy("ssr", "q").first()
+    if best is None:
+        raise InvalidOperation("no threshold leaves enough rows in both regimes")
+
+    def unscale(b: Sequence[float]) -> np.ndarray:
+        slopes = np.array(b[1:]) * sd[-1] / sd[:-1]
+        return np.concatenate([[b[0] * sd[-1] + mean[-1] - slopes @ mean[:-1]], slopes])
+
+    return {"ssr": float(best["ssr"] * sd[-1] ** 2), "threshold": float(best["q"]), "low": unscale(best["low"]), "high": unscale(best["high"]), "n": n}
 
 
 def midas(df: DataFrame, y: str, x: str, lags: int, order_by: Sequence[str], n_grid: int = 25) -> dict[str, float]:

@@ -103,7 +103,7 @@ def mundlak(spark, d):
 
 @query()
 def panel_threshold(spark, d):
-    return _row(spark, panel.panel_threshold(_monthly(spark, d), "total", ["orders"], "month", "o_custkey", n_grid=10), 3)
+    return _row(spark, panel.panel_threshold(_monthly(spark, d), "total", ["orders"], "month", "o_custkey"), 3)
 
 
 def _yearly(spark, d):
@@ -266,7 +266,7 @@ def johansen(spark, d):
 
 @query()
 def setar(spark, d):
-    r = timeseries.setar(_daily(spark, d), "total", 1, 1, ["day"], 20)
+    r = timeseries.setar(_daily(spark, d), "total", 1, 1, ["day"])
     return _row(spark, {"threshold": r["threshold"], "ssr": r["ssr"]}, 4)
 
 

@@ -36,35 +36,48 @@ def nearest_centre(x, centres: np.ndarray):
     return F.least(*c) if len(c) > 1 else c[0]
 
 
-def kmeans(df: DataFrame, names: Sequence[str], k: int, *, seed: int = 0, restarts: int = 3, max_iter: int = 300, sample: int = 20_000) -> KMeans:
-    """Lloyd's iterations as grouped averages; starts by k-means++ on a bounded sample of rows of least hash."""
+def kmeans(df: DataFrame, names: Sequence[str], k: int, *, seed: int = 0, restarts: int = 10, max_iter: int = 300, sample: int = 20_000) -> KMeans:
+    """Lloyd's iterations with sums per Arrow batch, all restarts in one job each; starts by k-means++ on a bounded sample of rows of least hash."""
     z = project(df, [col(c) for c in names])
     n = z.count()
     if n < k:
         raise InvalidOperation("fewer rows than clusters")
     p = len(names)
     pick = np.array(z.orderBy(F.xxhash64(*z.columns, F.lit(seed)), *z.columns).limit(sample).collect(), float).reshape(-1, p)
-    xs = [F.col(c) for c in z.columns]
-    best: KMeans | None = None
+    starts = []
     for r in range(restarts):
         rng = np.random.default_rng(seed + r)
         c = [pick[rng.integers(len(pick))]]
         while len(c) < k:
             d = np.min([((pick - m) ** 2).sum(axis=1) for m in c], axis=0)
             c.append(pick[rng.choice(len(pick), p=d / d.sum())] if d.sum() > 0 else pick[rng.integers(len(pick))])
-        centres, old = np.array(c), math.inf
-        for _ in range(max_iter):
-            near = nearest_centre(xs, centres)
-            rows = z.select("*", near.alias("n")).groupBy("n.k").agg(F.sum("n.d").alias("d"), *[F.avg(c).alias(c) for c in z.columns]).collect()
-            inertia = sum(x["d"] for x in rows)
-            for x in rows:
-                centres[x["k"]] = [x[c] for c in z.columns]
-            if inertia >= old - 1e-10 * abs(old):
-                break
-            old = inertia
-        if best is None or inertia < best.inertia:
-            best = KMeans(centres, float(inertia), list(names))
-    return best
+        starts.append(np.array(c))
+    width = 1 + k + k * p
+    inertia, open_ = [math.inf] * restarts, list(range(restarts))
+    for _ in range(max_iter):
+        now = [starts[r] for r in open_]
+
+        def add(m: np.ndarray, now=now) -> np.ndarray:
+            out = []
+            for centres in now:
+                d = np.column_stack([((m - c) ** 2).sum(axis=1) for c in centres])
+                hit = np.eye(k)[d.argmin(axis=1)]
+                out += [[d.min(axis=1).sum()], hit.sum(axis=0), (hit.T @ m).ravel()]
+            return np.concatenate(out)
+
+        sums = batch_sums(z, width * len(now), add).reshape(-1, width)
+        done = []
+        for r, v in zip(open_, sums, strict=True):
+            size = v[1 : k + 1]
+            starts[r] = np.where(size[:, None] > 0, v[k + 1 :].reshape(k, p) / np.maximum(size, 1)[:, None], starts[r])
+            if v[0] >= inertia[r] - 1e-10 * abs(inertia[r]):
+                done.append(r)
+            inertia[r] = float(v[0])
+        open_ = [r for r in open_ if r not in done]
+        if not open_:
+            break
+    best = int(np.argmin(inertia))
+    return KMeans(starts[best], inertia[best], list(names))
 
 
 def gaussian_mixture(df: DataFrame, names: Sequence[str], k: int, *, seed: int = 0, max_iter: int = 100, tol: float = 1e-6) -> dict[str, np.ndarray]:
@@ -101,24 +114,36 @@ def dbscan(df: DataFrame, key: str, names: Sequence[str], eps: float, min_points
     label propagation with pointer jumping. Columns: key, `cluster` (least core key; NULL for noise).
 
     Points of one cell narrower than eps / sqrt(p) are all within eps of each other: a full fine cell makes its points core and
-    one star per cell replaces its pairs, so dense spots do not square.
+    one star per cell replaces its pairs, so dense spots do not square. Neighbouring cells are found among occupied ones: these meet
+    on squares of width eps of the (up to) three columns of largest range and are kept if no other column separates them, so the
+    number of columns does not multiply cells. Where eps is near the range of the columns, all pairs of cells are compared.
     """
     p = len(names)
     fine = eps / math.sqrt(p) * 0.999999
-    src = df.select(col(key).alias("id"), *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
-    cell = F.concat_ws(",", *[F.floor(F.col(f"x{i}") / fine) for i in range(p)])
-    pts = checkpoint(src.withColumn("cell", cell))
-    r = math.ceil(eps / fine)
-    sizes = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("star"), *[F.first(F.floor(F.col(f"x{i}") / fine)).alias(f"c{i}") for i in range(p)])
+    src = df.select(col(key).alias("id"), F.array(*[col(c).cast("double") for c in names]).alias("x"))
+    pts = checkpoint(src.withColumn("g", F.transform("x", lambda e: F.floor(e / fine))).withColumn("cell", F.concat_ws(",", F.transform("g", lambda e: e.cast("string")))))
+    # A cell's middle and how far its points can be from it; a single point is its own middle.
+    single = F.col("m") == 1
+    sizes = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("star"), F.first("g").alias("g"), F.first("x").alias("x"))
+    sizes = sizes.select("cell", "m", "star", "g", F.when(single, F.col("x")).otherwise(F.transform("g", lambda e: (e + 0.5) * fine)).alias("c"), F.when(single, 0.0).otherwise(eps / 2).alias("w"))
     sizes = checkpoint(sizes)
-    near = sizes
-    for i in range(p):
-        near = near.withColumn(f"o{i}", F.explode(F.sequence(F.col(f"c{i}") - r, F.col(f"c{i}") + r)))
-    near = near.select(F.col("cell").alias("a"), F.concat_ws(",", *[F.col(f"o{i}") for i in range(p)]).alias("b")).join(sizes.select(F.col("cell").alias("b")), "b").where("a <> b")
-    near = checkpoint(near)
-    dist2 = F.lit(0.0)
-    for i in range(p):
-        dist2 = dist2 + (F.col(f"l.x{i}") - F.col(f"r.x{i}")) * (F.col(f"l.x{i}") - F.col(f"r.x{i}"))
+    spread = sizes.agg(*[(F.max(F.col("g")[i]) - F.min(F.col("g")[i])).alias(f"s{i}") for i in range(p)]).first()
+    wide = sorted(range(p), key=lambda i: -(spread[i] or 0))[:3]
+    # Points within eps are at most r fine cells apart in every column.
+    r = math.ceil(eps / fine)
+    square = [F.floor(F.col("g")[i] / r) for i in wide]
+    left = sizes.select("cell", "g", "c", "w", *[e.alias(f"o{i}") for i, e in enumerate(square)], F.pmod(F.xxhash64("cell"), F.lit(16)).alias("part"))
+    right = sizes.select(F.col("cell").alias("b"), F.col("g").alias("h"), F.col("c").alias("d"), F.col("w").alias("v"), *[e.alias(f"o{i}") for i, e in enumerate(square)], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("part"))
+    for i in range(len(wide)):
+        left = left.withColumn(f"o{i}", F.explode(F.sequence(F.col(f"o{i}") - 1, F.col(f"o{i}") + 1)))
+    # Two lower bounds of the distance of two cells' points: from the middles, and the gap between the cells.
+    middle = F.aggregate(F.zip_with("c", "d", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda u, v: u + v)
+    gap = F.aggregate(F.zip_with("g", "h", lambda u, v: F.pow(F.greatest(F.abs(u - v) - 1, F.lit(0)).cast("double"), F.lit(2.0))), F.lit(0.0), lambda u, v: u + v)
+    on, tasks = [*[f"o{i}" for i in range(len(wide))], "part"], 4 * df.sparkSession.sparkContext.defaultParallelism
+    near = left.repartition(tasks, *on).join(right.repartition(tasks, *on), on).where(F.col("cell") < F.col("b"))
+    near = checkpoint(near.where((middle <= F.pow(eps + F.col("w") + F.col("v"), F.lit(2.0)) * (1 + 1e-9)) & (gap * (fine * fine) <= eps * eps * (1 + 1e-9))).select(F.col("cell").alias("a"), "b"))
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    dist2 = F.aggregate(F.zip_with("l.x", "r.x", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda u, v: u + v)
     full = sizes.where(F.col("m") >= min_points).select("cell")
     sparse = pts.join(full, "cell", "left_anti")
     counts = sparse.alias("l").join(near.alias("n"), F.col("l.cell") == F.col("n.a")).join(pts.alias("r"), F.col("n.b") == F.col("r.cell")).where(dist2 <= eps * eps).groupBy(F.col("l.id").alias("id")).agg(F.count(F.lit(1)).alias("k"))

@@ -1,10 +1,12 @@
 """Estimators try every candidate and read every row, column and level: compared with brute force where a part would give another result."""
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
-from gramforge.models import panel, timeseries
+from gramforge.models import learn, panel, timeseries
+from gramforge.queries import estimators
 
 
 def test_setar_tries_every_value(spark):
@@ -50,3 +52,57 @@ def test_panel_threshold_tries_the_candidates_of_the_reference(spark, values):
     ssr, c, b = _panel_threshold(p)
     assert got["threshold"] == c and got["ssr"] == pytest.approx(ssr, rel=1e-9)
     assert [got[k] for k in ("x1_low", "x2_low", "x1_high", "x2_high")] == pytest.approx(b, rel=1e-7)
+
+
+@pytest.fixture(scope="module")
+def vectors(sf):
+    return duckdb.sql(f"select vec_id, embedding from '{sf}/embeddings.parquet' order by vec_id").df()
+
+
+def test_kmeans_query_uses_every_entry(spark, sf, vectors):
+    x = np.array(vectors["embedding"].tolist(), float)
+    got = estimators.kmeans(spark, sf).orderBy("vec_id").toPandas()["cluster"].to_numpy()
+    centres = np.array([x[got == c].mean(0) for c in range(4)])
+    d = ((x[:, None] - centres[None]) ** 2).sum(-1)
+    # At the end of Lloyd's iterations every vector is with the nearest mean.
+    assert (d[np.arange(len(x)), got] <= d.min(1) + 1e-9).all()
+
+
+def test_kmeans_keeps_the_best_of_all_restarts(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.05, (30, 2)) for c in ((0, 0), (0, 1), (5, 0), (5, 1), (9, 9))])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"])).repartition(4)
+    one = [learn.kmeans(df, ["a", "b"], 5, restarts=1, seed=s).inertia for s in range(10)]
+    assert learn.kmeans(df, ["a", "b"], 5).inertia == pytest.approx(min(one), rel=1e-9)
+
+
+def _dbscan(x, eps, least):
+    """(core, component of core points, allowed components of each border point) by all pairs."""
+    near = ((x[:, None] - x[None]) ** 2).sum(-1) <= eps * eps
+    core = near.sum(1) >= least
+    label = np.where(core, np.arange(len(x)), len(x))
+    for _ in x:
+        label = np.where(core, np.where(near & core[None], label[None], len(x)).min(1), len(x))
+    return [label[i] if core[i] else min((label[j] for j in np.flatnonzero(near[i] & core)), default=None) for i in range(len(x))]
+
+
+@pytest.mark.parametrize(("p", "eps"), [(1, 0.05), (3, 0.4), (64, 1.3)])
+def test_dbscan_in_any_number_of_columns(spark, p, eps):
+    rng = np.random.default_rng(p)
+    x = np.vstack([rng.normal(c, 0.11, (50, p)) for c in (0, 1)] + [rng.uniform(-1, 2, (60, p))])
+    names = [f"v{i}" for i in range(p)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=range(len(x)))).repartition(4)
+    got = {r["id"]: r["cluster"] for r in learn.dbscan(df, "id", names, eps, 5).collect()}
+    want = _dbscan(x, eps, 5)
+    assert [got[i] for i in range(len(x))] == want and len(set(want)) > 2
+
+
+def test_learning_queries_pass_whole_vectors_and_defaults(spark, sf, monkeypatch):
+    seen = {}
+    for name in ("dbscan", "random_forest"):
+        monkeypatch.setattr(learn, name, lambda df, *a, _name=name, **kw: seen.update({_name: (a, kw)}) or learn.Trees)
+    monkeypatch.setattr(learn.Trees, "predict", lambda x: x.withColumn("prediction", x["x0"]))
+    estimators.dbscan(spark, sf)
+    estimators.random_forest(spark, sf)
+    whole = [f"x{i}" for i in range(64)]
+    assert seen["dbscan"][0][1] == whole and seen["random_forest"] == (("x0", whole[1:]), {})

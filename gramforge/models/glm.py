@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gramforge import dist
 from gramforge.errors import InvalidOperation, OptimizationFailed
-from gramforge.formula import Formula, bspline_columns
+from gramforge.formula import MAX_LEVELS, Formula, bspline_columns
 from gramforge.models.linear import Cov, fit_columns, sandwich
 from gramforge.models.results import Fit
 from gramforge.plans.mle import Kernel, maximise, numeric_scores, project
@@ -241,18 +241,26 @@ def zinb_model(df: DataFrame, formula: str, inflate: Sequence[str] = ()) -> Fit:
     return _zero_inflated(df, formula, inflate, True)
 
 
+def _levels(df: DataFrame, y: Column) -> tuple[list[float], Column]:
+    """Sorted levels of the response (at most MAX_LEVELS) and the code of a row's level, NULL (an error in the fit) for a missing response."""
+    levels = sorted(r[0] for r in df.where(y.isNotNull() & ~F.isnan(y)).select(y).distinct().limit(MAX_LEVELS + 1).collect())
+    if len(levels) > MAX_LEVELS:
+        raise InvalidOperation(f"the response has over {MAX_LEVELS} levels")
+    code = F.when(F.lit(False), 0)
+    for i, lv in enumerate(levels):
+        code = code.when(y == lv, i)
+    return levels, code
+
+
 def _ordered(df: DataFrame, formula: str, cdf: Callable[[np.ndarray], np.ndarray]) -> Fit:
     """Categories are the sorted distinct values of the response; thresholds are cumulated exponentials."""
     f = Formula.parse(formula)
     y, x = f.design(df)
     x = {c: e for c, e in x.items() if c != "const"}
-    levels = sorted(r[0] for r in df.select(y).distinct().limit(1000).collect())
+    levels, code = _levels(df, y)
     j, k = len(levels), len(x)
     if j < 2:
         raise InvalidOperation("the response needs two categories")
-    code = F.lit(0)
-    for i, lv in enumerate(levels):
-        code = F.when(y == lv, i).otherwise(code)
     z = project(df, [*x.values(), code])
 
     def cuts(b):
@@ -285,11 +293,8 @@ def ordered_probit(df: DataFrame, formula: str) -> Fit:
 def multinomial_logit(df: DataFrame, formula: str) -> Fit:
     """Base category: the smallest value of the response."""
     y, x = Formula.parse(formula).design(df)
-    levels = sorted(r[0] for r in df.select(y).distinct().limit(1000).collect())
+    levels, code = _levels(df, y)
     j, k = len(levels), len(x)
-    code = F.lit(0)
-    for i, lv in enumerate(levels):
-        code = F.when(y == lv, i).otherwise(code)
     z = project(df, [*x.values(), code])
 
     def kernel(b, m):

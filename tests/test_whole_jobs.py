@@ -5,7 +5,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from gramforge.models import learn, panel, timeseries
+from gramforge.errors import InvalidOperation
+from gramforge.models import glm, learn, panel, timeseries
 from gramforge.queries import estimators
 
 
@@ -106,3 +107,12 @@ def test_learning_queries_pass_whole_vectors_and_defaults(spark, sf, monkeypatch
     estimators.random_forest(spark, sf)
     whole = [f"x{i}" for i in range(64)]
     assert seen["dbscan"][0][1] == whole and seen["random_forest"] == (("x0", whole[1:]), {})
+
+
+@pytest.mark.parametrize("fit", [glm.ordered_logit, glm.ordered_probit, glm.multinomial_logit])
+def test_responses_with_too_many_or_missing_levels_are_errors(spark, fit):
+    many = spark.range(1001).selectExpr("cast(id as double) as y", "cast(id % 7 as double) as x")
+    with pytest.raises(InvalidOperation, match="levels"):
+        fit(many, "y ~ x")
+    with pytest.raises(InvalidOperation, match="NULL"):
+        fit(spark.range(40).selectExpr("if(id = 3, null, cast(id % 3 as double)) as y", "cast(id % 7 as double) as x"), "y ~ x")

@@ -15,7 +15,7 @@ from gramforge.errors import InvalidOperation, OptimizationFailed, ShapeMismatch
 from gramforge.models.linear import Cov, fit_columns, iv, sandwich
 from gramforge.models.results import Fit
 from gramforge.operators.ordered import Ordered
-from gramforge.plans.moments import gram, inverse_spd, linear, solve_spd
+from gramforge.plans.moments import gram, inverse_spd, linear, outer_sum, solve_spd
 from gramforge.util import checkpoint, col, join_on
 
 
@@ -400,13 +400,23 @@ def panel_threshold(df: DataFrame, y: str, x: Sequence[str], threshold: str, ent
 
 
 def pcse(df: DataFrame, y: str, x: Sequence[str], entity: str, time: str) -> Fit:
-    """Pooled least squares with panel-corrected errors; contemporaneous covariances enter through sums per time:
-    sum_t (sum_i x_it e_it)(...)' for balanced panels."""
+    """Pooled least squares with panel-corrected errors (Beck and Katz) for a balanced panel of T periods.
+
+    With s_ij = e_i'e_j / T, the sum over i, j of s_ij X_i'X_j equals the sum over pairs of periods (t, u) of h h' / T, where
+    h = sum_i x_it e_iu: every row meets the T residuals of its entity, and no matrix of entities is built.
+    """
     fit = fit_columns(df, col(y), {"const": F.lit(1.0)} | {c: col(c) for c in x})
-    v = sandwich(df, fit.exprs, col(y).cast("double") - fit.predictor(), fit.cov / fit.stats["sigma"] ** 2, int(fit.stats["n"]), Cov("cluster", clusters=[time]))
-    g = df.select(col(time)).distinct().count()
-    n, k = int(fit.stats["n"]), len(fit.names)
-    return Fit(fit.names, fit.params, v / (g / (g - 1) * (n - 1) / (n - k)), fit.df_resid, fit.stats, fit.exprs)
+    k = len(fit.names)
+    z = checkpoint(df.select(col(entity).alias("i"), col(time).alias("t"), (col(y).cast("double") - fit.predictor()).alias("e"), *[c.cast("double").alias(f"x{j}") for j, c in enumerate(fit.exprs)]))
+    size = z.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("i").alias("g"), F.count_distinct("t").alias("t"), F.count_distinct("i", "t").alias("c")).first()
+    periods = size["t"]
+    if not size["n"] == size["c"] == size["g"] * periods:
+        raise InvalidOperation("unbalanced panel: every entity needs one row in every period")
+    other = z.select("i", F.col("t").alias("u"), F.col("e").alias("r"))
+    h = z.join(other, "i").groupBy("t", "u").agg(*[F.sum(F.col(f"x{j}") * F.col("r")).alias(f"h{j}") for j in range(k)])
+    meat = outer_sum(h, [F.col(f"h{j}") for j in range(k)], F.lit(1.0 / periods))
+    bread = fit.cov / fit.stats["sigma"] ** 2
+    return Fit(fit.names, fit.params, bread @ meat @ bread, fit.df_resid, fit.stats, fit.exprs)
 
 
 def panel_quantile(df: DataFrame, y: str, x: Sequence[str], entity: str, tau: float) -> Fit:

@@ -116,3 +116,19 @@ def test_responses_with_too_many_or_missing_levels_are_errors(spark, fit):
         fit(many, "y ~ x")
     with pytest.raises(InvalidOperation, match="NULL"):
         fit(spark.range(40).selectExpr("if(id = 3, null, cast(id % 3 as double)) as y", "cast(id % 7 as double) as x"), "y ~ x")
+
+
+def test_pcse_is_beck_and_katz(spark):
+    rng = np.random.default_rng(6)
+    n, t = 12, 9
+    p = pd.DataFrame({"g": np.repeat(np.arange(n), t), "t": np.tile(np.arange(t), n), "x1": rng.normal(size=n * t), "x2": rng.uniform(0, 3, n * t)})
+    p["y"] = 1 + p["x1"] - p["x2"] + rng.normal(size=t)[p["t"]] * (1 + p["g"] / 5) + rng.normal(size=n * t)
+    df = spark.createDataFrame(p).repartition(4)
+    fit = panel.pcse(df, "y", ["x1", "x2"], "g", "t")
+    x = np.column_stack([np.ones(n * t), p["x1"], p["x2"]])
+    inv = np.linalg.inv(x.T @ x)
+    e, xs = (p["y"].to_numpy() - x @ (inv @ x.T @ p["y"].to_numpy())).reshape(n, t), x.reshape(n, t, 3)
+    meat = sum((e[i] @ e[j] / t) * xs[i].T @ xs[j] for i in range(n) for j in range(n))
+    assert fit.cov == pytest.approx(inv @ meat @ inv, rel=1e-8)
+    with pytest.raises(InvalidOperation, match="unbalanced"):
+        panel.pcse(df.where("g <> 3 or t <> 4"), "y", ["x1", "x2"], "g", "t")

@@ -18,6 +18,9 @@ from gramforge.operators.ordered import Ordered
 from gramforge.plans.moments import gram, inverse_spd, linear, outer_sum, solve_spd
 from gramforge.util import checkpoint, col, join_on
 
+#: Periods of a dynamic panel.
+MAX_PERIODS = 200
+
 
 def _project(df: DataFrame, y: str, x: Sequence[str], keep: Sequence[str]) -> DataFrame:
     return df.select(*[col(c) for c in keep], *[col(c).cast("double").alias(f"z{i}") for i, c in enumerate([*x, y])])
@@ -236,8 +239,24 @@ def fama_macbeth(df: DataFrame, y: str, x: Sequence[str], time: str, *, lags: in
 
 
 def _entity_kernel(df: DataFrame, entity: str, size: int, func) -> np.ndarray:
-    """Sum over entities of a flat vector computed from each entity's rows (an entity's own series is one task)."""
-    out = df.groupBy(col(entity)).applyInPandas(lambda pdf: func(pdf), "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+    """Sum over entities of a flat vector computed from each entity's rows (an entity's own series is in one task, which emits one vector)."""
+
+    def kernel(batches):
+        total, rest = np.zeros(size), None
+        for b in batches:
+            groups = [g for _, g in (b if rest is None else pd.concat([rest, b])).groupby(entity, sort=False, dropna=False)]
+            # The last entity may go on in the next batch.
+            rest = groups.pop() if groups else rest
+            for g in groups:
+                o = func(g)
+                np.add.at(total, o["i"].to_numpy(int), o["s"].to_numpy(float))
+        if rest is not None:
+            o = func(rest)
+            np.add.at(total, o["i"].to_numpy(int), o["s"].to_numpy(float))
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"i": at, "s": total[at]})
+
+    out = df.repartition(col(entity)).sortWithinPartitions(col(entity)).mapInPandas(kernel, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
     v = np.zeros(size)
     for r in out:
         v[r["i"]] = r["s"]
@@ -247,9 +266,11 @@ def _entity_kernel(df: DataFrame, entity: str, size: int, func) -> np.ndarray:
 def arellano_bond(df: DataFrame, y: str, x: Sequence[str], entity: str, time: str, *, max_lag: int = 99, two_step: bool = True, system: bool = False) -> Fit:
     """Difference (or system) GMM for y_it = rho y_i,t-1 + x'b + a_i + e_it with instruments y_i,t-2, ... and the differenced x.
 
-    Periods are the sorted distinct times (bounded; instruments grow with their square). Only instrument-sized matrices are added.
+    Periods are the sorted distinct times (at most MAX_PERIODS; instruments grow with their square). Only instrument-sized matrices are added.
     """
-    times = [r[0] for r in df.select(col(time)).distinct().orderBy(col(time)).limit(200).collect()]
+    times = [r[0] for r in df.select(col(time)).distinct().orderBy(col(time)).limit(MAX_PERIODS + 1).collect()]
+    if len(times) > MAX_PERIODS:
+        raise InvalidOperation(f"over {MAX_PERIODS} periods")
     t_at = {t: i for i, t in enumerate(times)}
     cap, k = len(times), 1 + len(x)
     blocks: list[tuple[int, int]] = [(t, s) for t in range(2, cap) for s in range(max(0, t - 1 - max_lag), t - 1)]

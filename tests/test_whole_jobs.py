@@ -132,3 +132,23 @@ def test_pcse_is_beck_and_katz(spark):
     assert fit.cov == pytest.approx(inv @ meat @ inv, rel=1e-8)
     with pytest.raises(InvalidOperation, match="unbalanced"):
         panel.pcse(df.where("g <> 3 or t <> 4"), "y", ["x1", "x2"], "g", "t")
+
+
+def test_dynamic_panel_queries_keep_every_customer(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(estimators, "_fit", lambda spark, fit, digits: fit)
+    for name in ("arellano_bond", "system_gmm"):
+        monkeypatch.setattr(panel, name, lambda df, *a, **kw: seen.append((df.select("unit").distinct().count(), kw)))
+        getattr(estimators, name)(spark, sf)
+    customers = duckdb.sql(f"select count(distinct o_custkey) from '{sf}/orders.parquet'").fetchall()[0][0]
+    assert seen == [(customers, {})] * 2
+    # sf0.001 has fewer customers than 400: more of them here.
+    wide = spark.createDataFrame([(401 * k, d, 1.0) for k in range(900) for d in pd.to_datetime(["1995-01-01", "1996-01-01"]).date], "o_custkey long, o_orderdate date, o_totalprice double")
+    monkeypatch.setattr(estimators, "read_table", lambda *a: wide)
+    assert estimators._yearly(spark, sf).count() == 1800
+
+
+def test_dynamic_panel_over_the_period_bound_is_an_error(spark):
+    df = spark.range(402).selectExpr("id % 2 as g", "cast(id / 2 as int) as t", "rand(1) as y", "rand(2) as x")
+    with pytest.raises(InvalidOperation, match="periods"):
+        panel.arellano_bond(df, "y", ["x"], "g", "t")

@@ -1,4 +1,4 @@
-"""Queries p5 to p8 over the test tables."""
+"""Queries p3 and p5 to p8 over the test tables."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramforge.llm.code_language import language_shares, natural_language_units
+from gramforge.llm.dyadic_sketch import SketchShape, build_sketch, check_ranks, merge_sketches, sketch_quantiles
 from gramforge.llm.leaked_items import leaked_items
 from gramforge.llm.mixing import mix_sources
 from gramforge.llm.shared_spans import shared_share, shared_spans
@@ -17,6 +18,30 @@ from gramforge.util import read_table
 RANKS_FILE = os.environ.get("GRAMFORGE_RANKS_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+P3_LEVELS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+
+
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """A sketch per level of education and area; the areas' sketches are added."""
+    parts = build_sketch(read_table(spark, d, "wage_data"), ["education", "area"], "wage")
+    return sketch_quantiles(merge_sketches(parts, ["education"]), ["education"], P3_LEVELS)
+
+
+def p3_within_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the exact rank of every percentile lies within the stated bound."""
+    checked = check_ranks(read_table(spark, d, "wage_data"), p3_percentiles(spark, d), ["education"], "wage")
+    return checked.select("education", "q", "n_values", "within_bound")
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Values counted per level of education in the merged sketch, without rows received over 30 days late, which are deleted from it."""
+    wages = read_table(spark, d, "wage_data")
+    late = wages.where(F.datediff("received_day", "survey_day") > 30).withColumn("minus", F.lit(-1))
+    both = build_sketch(wages, ["education", "area"], "wage").unionByName(build_sketch(late, ["education", "area"], "wage", weight="minus"))
+    merged = merge_sketches(both, ["education"])
+    return merged.where(F.col("level") == SketchShape().sketched).select("education", F.col("n").alias("n_values"))
+
+
 def _found_units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     files = read_table(spark, d, "source_files")
     # The project's own word list: bounded, as a hand-kept list is.
@@ -61,7 +86,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(docs, shared_spans(docs)).withColumn("shared_share", F.round("shared_share", 9))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_shares, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_within_bound, p3_counts, p5_found, p5_shares, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares)}
 
 _P8 = """
 win as (select doc_id, unnest(range(0, length(text) - 349)) as s, text from documents where length(text) >= 350),
@@ -78,7 +103,11 @@ tests as (select item_id as id, regexp_extract_all(strip_accents(lower(item_text
 doc_runs as (select id, array_to_string(w[k:k+12], ' ') as g from (select id, w, unnest(range(1, len(w) - 11)) as k from docs)),
 item_runs as (select id, array_to_string(w[k:k+12], ' ') as g from (select id, w, unnest(range(1, len(w) - 11)) as k from tests))
 """
+_FINITE = "wage is not null and isfinite(wage)"
 ORACLE = {
+    "p3_within_bound": f"""select education, q::double as q, count(*) as n_values, true as within_bound from wage_data, unnest([{", ".join(map(str, P3_LEVELS))}]) t(q) where {_FINITE} group by all""",
+    "p3_counts": f"""select education, count(*) as n_values from wage_data where {_FINITE}
+  and not coalesce(received_day - survey_day > 30, false) group by education having count(*) > 0""",
     "p6_found": f"with {_P6} select distinct d.id as doc_id, i.id as item_id from doc_runs d join item_runs i using (g)",
     "p8_found": f"with {_P8} select doc_id, span_start, span_end from spans",
     "p8_shares": f"""with {_P8}, sums as (select doc_id, sum(span_end - span_start) as k from spans group by doc_id)

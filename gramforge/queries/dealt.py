@@ -1,11 +1,10 @@
-"""Queries p1 to p4 over the test tables."""
+"""Queries p1, p2 and p4 over the test tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramforge.operators.dyadic_sketch import SketchShape, build_sketch, merge_sketches, sketch_quantiles
 from gramforge.operators.fill import fill_category, fill_numeric
 from gramforge.operators.grid import regular_grid
 from gramforge.sources.records import FieldSpec, parse_lines
@@ -66,28 +65,6 @@ def p2_grid(spark: SparkSession, d: str) -> DataFrame:
     return panel_grid(spark, d).withColumn("slot_value", F.round("slot_value", 6))
 
 
-P3_LEVELS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-
-
-def wage_parts(spark: SparkSession, d: str) -> DataFrame:
-    """A sketch per area, to be combined."""
-    wages = read_table(spark, d, "wage_data")
-    return build_sketch(wages, ["education", "area"], "wage")
-
-
-def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return sketch_quantiles(merge_sketches(wage_parts(spark, d), ["education"]), ["education"], P3_LEVELS)
-
-
-def p3_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Values counted per level of education in the merged sketch, without rows received over 30 days late, which are deleted from it."""
-    wages = read_table(spark, d, "wage_data")
-    late = wages.where(F.datediff("received_day", "survey_day") > 30).withColumn("minus", F.lit(-1))
-    both = build_sketch(wages, ["education", "area"], "wage").unionByName(build_sketch(late, ["education", "area"], "wage", weight="minus"))
-    merged = merge_sketches(both, ["education"])
-    return merged.where(F.col("level") == SketchShape().sketched).groupBy("education").agg(F.sum("n").alias("n_values"))
-
-
 def parsed_wages(spark: SparkSession, d: str) -> DataFrame:
     return parse_lines(read_table(spark, d, "wage_raw"), "raw_line", WAGE_RECORD)
 
@@ -100,7 +77,7 @@ def p4_valid(spark: SparkSession, d: str) -> DataFrame:
     return parsed_wages(spark, d).where("reason is null").select("raw_id", "wage", "education", "experience", "female")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_filled_panel, p1_filled_income, p2_found, p2_grid, p3_percentiles, p3_counts, p4_found, p4_valid)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_filled_panel, p1_filled_income, p2_found, p2_grid, p4_found, p4_valid)}
 
 _FIELD = r'(?:[^",]*|"(?:[^"]|"")*")'
 _P4 = rf"""
@@ -138,8 +115,6 @@ union all select 'income_dataset', resp_id, 'income', district_id from income_da
 select firm_id, wave, slot, slot * step_len as slot_start, round(v, 6) as slot_value, n as n_readings, false as was_missing from readings
 union all select firm_id, wave, s, s * step_len, round(prev_v + (v - prev_v) * ((s - prev) / (slot - prev)), 6), 0, true from gaps
 """,
-    "p3_counts": """select education, count(*) as n_values from wage_data where wage is not null and isfinite(wage)
-  and not coalesce(received_day - survey_day > 30, false) group by education having count(*) > 0""",
     "p4_found": f"with {_P4} select raw_id, reason from judged where reason is not null",
     "p4_valid": f"""with {_P4} select raw_id, case when not na[1] then d[1] end as wage, case when not na[2] then cast(d[2] as bigint) end as education,
   case when not na[3] then cast(d[3] as bigint) end as experience, case when not na[4] then cast(d[4] as bigint) end as female from judged where reason is null""",

@@ -1,15 +1,13 @@
 """Natural language inside source code, told apart by compression.
 
-Comments and string literals are cut out by the lexers of `code_lexer`. Each span is compressed
-with one zstandard dictionary per language; the language of the shortest encoding wins. A
-span is rejected if a dictionary of program code encodes it nearly as short (margin test) or if
-it holds fewer than `min_words` plain words. Ties between languages go to the one whose
-dictionary text knows more of the span's words.
-
-Dictionaries start from labelled prose per language (plus word lists given by the caller).
-They are then extended by the spans of a bounded sample of files (`fit_files`, the files of least hash)
-that the first dictionaries label by a clear margin, and the code dictionary by those files' code. The sample
-only fits the dictionaries; every unit of every file is classified.
+Comments and string literals are cut out by the lexers of `code_lexer`. The words of each span are compressed
+with one zstandard dictionary per language, made of labelled prose (`language_seed`, plus word lists given by the
+caller, or a `LanguageModel` of one's own); the language of the shortest encoding wins. A span is rejected
+if it holds fewer than `min_words` plain words, or if a dictionary of program code encodes it as short as the
+best language does (margin test). Languages within one byte of each other count as tied; the one whose
+dictionary text knows more of the span's words wins.
+
+The dictionaries are fixed before any file is read: nothing is fitted on the rows that are classified.
 """
 
 from __future__ import annotations
@@ -18,6 +16,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -25,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gramforge.llm.code_lexer import code_only, plain, units
+from gramforge.llm.code_lexer import plain, units
 from gramforge.llm.language_seed import CODE_SEED, SEED
 from gramforge.util import col, reject_clash, require
 
-_TOKEN = re.compile(r"\S+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\Z")
+_OPTION = re.compile(r"--+[a-z]")
 _OUTER = "\"'`.,;:!?…()[]{}<>«»“”¿¡*-"
 #: A token in one of these is a name or a quotation from code, not running text.
 _QUOTED_CODE = re.compile(r"`[^`]*`|\[[^\]\s]*\]|https?://\S+")
@@ -43,31 +42,35 @@ def bare(text: str) -> str:
 
 def plain_words(text: str) -> list[str]:
     """Tokens that are words: letters only once outer punctuation is removed."""
+    if "`" in text or "[" in text or "://" in text:
+        text = _QUOTED_CODE.sub(" ", text)
     out = []
-    for m in _TOKEN.finditer(_QUOTED_CODE.sub(" ", text)):
-        t = m[0]
-        if t[0] == "-" and t[1:2].strip("-").isalpha() or re.match(r"--+[a-z]", t):  # an option of a command
+    for raw in text.split():
+        if raw.isalpha():
+            out.append(raw.lower())
             continue
-        if any(c in "=<>\\/|_&$%@^~#" for c in t.strip(_OUTER)) or t.endswith("(") or "::" in t or "()" in t:
+        t = raw.strip(_OUTER)
+        if not t or not _WORD.match(t):
             continue
-        t = t.strip(_OUTER)
-        if t and _WORD.match(t):
-            out.append(t.lower())
+        # An option of a command, a call or a path is no word.
+        if raw[0] == "-" and (raw[1:2].isalpha() or _OPTION.match(raw)) or raw[-1] == "(" or "()" in raw or "::" in raw:
+            continue
+        out.append(t.lower())
     return out
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Texts the dictionaries are made of, least recently trusted first; the last bytes matter most to zstandard."""
+    """The labelled texts the dictionaries are made of."""
 
     texts: Mapping[str, bytes]
     code: bytes
 
 
 class Identifier:
-    """Compressors of one model. level and margin are parameters of the method."""
+    """Compressors of one model. level (of zstandard), code_margin and near (bytes) are parameters of the method; a task remembers `kept` texts of up to 1000 characters."""
 
-    def __init__(self, model: LanguageModel, level: int = 3, code_margin: int = 1):
+    def __init__(self, model: LanguageModel, level: int = 9, code_margin: int = 1, near: int = 1, kept: int = 1 << 16):
         def packer(raw: bytes) -> zstandard.ZstdCompressor:
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             p = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -77,7 +80,8 @@ class Identifier:
         self.packers = {k: packer(v) for k, v in model.texts.items()}
         self.code = packer(model.code)
         self.vocabulary = {k: frozenset(re.findall(r"[^\W\d_]+", v.decode("utf-8", "ignore"))) for k, v in model.texts.items()}
-        self.code_margin = code_margin
+        self.code_margin, self.near = code_margin, near
+        self.judge = lru_cache(kept)(self._judge)
 
     def sizes(self, text: str) -> dict[str, int]:
         raw = text.encode("utf-8", "replace")
@@ -87,27 +91,22 @@ class Identifier:
         v = self.vocabulary[language]
         return sum(w in v for w in words)
 
-    def own_words(self, words: list[str]) -> dict[str, int]:
-        """For each language the number of words that only its dictionary text has."""
-        out = dict.fromkeys(self.vocabulary, 0)
-        for w in words:
-            has = [k for k, v in self.vocabulary.items() if w in v]
-            if len(has) == 1:
-                out[has[0]] += 1
-        return out
-
     def language(self, text: str, min_words: int = 4) -> tuple[str | None, int]:
-        """(language or None, margin in bytes to the second)."""
+        """(language or None, number of plain words)."""
         words = plain_words(text)
         if len(words) < min_words:
-            return None, 0
-        prose = " " + " ".join(words) + " "
-        s = self.sizes(prose)
-        order = sorted(s, key=lambda k: (s[k], -self.known(k, words), k))
-        best, second = order[0], order[1]
-        if len(self.code.compress(prose.encode("utf-8", "replace"))) - s[best] < self.code_margin:
-            return None, 0
-        return best, s[second] - s[best]
+            return None, len(words)
+        prose = " ".join(words)
+        return self.judge(prose) if len(prose) <= 1000 else self._judge(prose), len(words)
+
+    def _judge(self, prose: str) -> str | None:
+        s = self.sizes(f" {prose} ")
+        least = min(s.values())
+        best = [k for k in sorted(s) if s[k] <= least + self.near]
+        if len(best) > 1:
+            words = prose.split()
+            best.sort(key=lambda k: (-self.known(k, words), s[k]))
+        return best[0] if len(self.code.compress(f" {prose} ".encode("utf-8", "replace"))) - s[best[0]] >= self.code_margin else None
 
 
 def _encode(text: str) -> bytes:
@@ -123,64 +122,18 @@ def seed_model(extra_words: Mapping[str, Iterable[str]] | None = None) -> Langua
     return LanguageModel(texts, CODE_SEED.lower().encode())
 
 
-def extend_model(model: LanguageModel, sample: list[tuple[str, str]], *, min_words: int = 4, clear: int = 2, rounds: int = 4, most_bytes: int = 64_000, level: int = 3) -> LanguageModel:
-    """Adds confidently labelled spans of `sample` ((text, code_kind) of files) to the dictionaries."""
-    spans = sorted({plain(body, kind, raw) for text, code_kind in sample for _, kind, body, raw in units(text, code_kind)})
-    code = " ".join(code_only(t, k) for t, k in sample)
-    code = (" ".join(code.lower().split()).encode()[: most_bytes - len(model.code)]) + model.code
-    base = current = LanguageModel(model.texts, code)
-    for _ in range(rounds):
-        ident = Identifier(current, level)
-        found: dict[str, dict[str, None]] = {k: {} for k in base.texts}
-        for s in spans:
-            lang, margin = ident.language(s, min_words)
-            if lang is None or margin < clear:
-                continue
-            # The encoding and the words only one language has must agree, else one wrong span draws in its like.
-            words = plain_words(s)
-            own = ident.own_words(words)
-            if all(own[lang] > n for k, n in own.items() if k != lang):
-                for piece in (" ".join(words), bare(" ".join(words))):
-                    found[lang][piece] = None
-        texts = {}
-        for k, seed in base.texts.items():
-            # Spans whose words are not yet in the dictionary come first, so that the bytes go to new text.
-            seen, kept, size = set(seed.decode().split()), [], len(seed)
-            pairs: set[tuple[str, str]] = set()
-            for s in found[k]:
-                w = s.split()
-                new = {p for p in zip(w, w[1:], strict=False) if p not in pairs}
-                if len(new) * 3 < len(w) and not set(w) - seen:
-                    continue
-                pairs |= new
-                seen |= set(w)
-                raw = (s + " ").encode()
-                if size + len(raw) > most_bytes:
-                    break
-                kept.append(raw)
-                size += len(raw)
-            texts[k] = b"".join(kept) + seed
-        current = LanguageModel(texts, code)
-    return current
-
-
-def fit_model(df: DataFrame, *, text: str = "body_text", code_kind: str = "code_kind", key: str = "file_id", fit_files: int = 500, extra_words: Mapping[str, Iterable[str]] | None = None) -> LanguageModel:
-    """The model from the labelled prose, extended by at most `fit_files` files of `df`."""
-    rows = df.where(col(text).isNotNull()).select(F.xxhash64(col(key)).alias("h"), F.xxhash64(col(text)).alias("g"), col(text).alias("t"), col(code_kind).alias("k")).orderBy("h", "g").limit(fit_files).collect()
-    return extend_model(seed_model(extra_words), sorted((r["t"], r["k"] or "") for r in rows))
-
-
-def natural_language_units(df: DataFrame, *, model: LanguageModel | None = None, key: str = "file_id", text: str = "body_text", code_kind: str = "code_kind", min_words: int = 4, extra_words: Mapping[str, Iterable[str]] | None = None, fit_files: int = 500) -> DataFrame:
+def natural_language_units(df: DataFrame, *, model: LanguageModel | None = None, key: str = "file_id", text: str = "body_text", code_kind: str = "code_kind", min_words: int = 4, extra_words: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
     """One row per comment or string literal that holds running text of at least `min_words` words.
 
     Result columns: the key column, `line_no` (from 1, by line feeds), `unit_kind` (comment or string), `lang`, `n_words`,
     `n_chars` (of the readable text) and `unit_text`. NULL or empty texts and unknown code kinds give no rows; repeated
     files give their rows again; `key` may not be named like a result column; texts of any length are read whole; an empty table gives no rows.
-    Equal shortest encodings and equal word counts go to the first language by name.
+    model: dictionaries of one's own; default `seed_model(extra_words)`.
+    Tied languages that know equally many words go to the shorter encoding, then to the first by name.
     """
     require(df, key, text, code_kind)
     reject_clash([key], ("line_no", "unit_kind", "lang", "n_words", "n_chars", "unit_text"))
-    model = fit_model(df, text=text, code_kind=code_kind, key=key, fit_files=fit_files, extra_words=extra_words) if model is None else model
+    model = seed_model(extra_words) if model is None else model
     src = df.select(col(key).alias("k"), col(text).alias("t"), col(code_kind).alias("c"))
     kind = src.schema["k"].dataType
     schema = T.StructType([T.StructField("k", kind), T.StructField("line_no", T.LongType()), T.StructField("unit_kind", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("unit_text", T.StringType())])
@@ -194,10 +147,10 @@ def natural_language_units(df: DataFrame, *, model: LanguageModel | None = None,
             for i, (t, c) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 for line, unit, body, raw in units(t, c):
                     prose = plain(body, unit, raw)
-                    lang, _ = ident.language(prose, min_words)
+                    lang, n = ident.language(prose, min_words)
                     if lang is not None:
                         who.append(i)
-                        rows.append((line, unit, lang, len(plain_words(prose)), len(prose), prose))
+                        rows.append((line, unit, lang, n, len(prose), prose))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())).cast(arrow_key), *[pa.array(x, t) for x, t in zip(cols, types, strict=True)]], names=schema.names)
 

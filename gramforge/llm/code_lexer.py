@@ -12,8 +12,7 @@ _RUST = re.compile(
     |(?P<raw>\b(?:br|cr|r)(?P<hash>\#*)")
     |(?P<str>(?:\b[bc])?")
     |(?P<char>(?:\bb)?'(?:\\(?:u\{[0-9a-fA-F_]*\}|x[0-9a-fA-F]{2}|[^\n])|[^'\\\n])')
-    |(?P<life>'\w+)
-    |(?P<word>\w+)""",
+    |(?P<life>'\w+)""",
     re.X,
 )
 _RUST_BLOCK = re.compile(r"/\*|\*/")
@@ -21,8 +20,7 @@ _RUST_STR = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.S)
 _PYTHON = re.compile(
     r"""(?P<line>\#[^\n]*)
     |(?P<str>\b(?P<pre>[rRbBuUfFtT]{1,2})?(?P<q>\"\"\"|'{3}|"|'))
-    |(?P<bare>(?P<bq>\"\"\"|'{3}|"|'))
-    |(?P<word>\w+)""",
+    |(?P<bare>(?P<bq>\"\"\"|'{3}|"|'))""",
     re.X,
 )
 _PY_END = {
@@ -80,7 +78,7 @@ def _python(text: str) -> Iterator[tuple[int, int, str, str, bool]]:
         start, at = m.start(), m.end()
         if m["line"] is not None:
             yield start, at, "comment", m[0][1:], True
-        elif m["word"] is None:
+        else:
             q = m["q"] or m["bq"]
             raw = "r" in (m["pre"] or "").lower()
             e = _PY_END[q].match(text, at)

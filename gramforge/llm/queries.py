@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramforge.errors import InvalidOperation
 from gramforge.llm.code_language import language_shares, natural_language_units
 from gramforge.llm.dyadic_sketch import SketchShape, build_sketch, check_ranks, merge_sketches, sketch_quantiles
 from gramforge.llm.leaked_items import leaked_items
@@ -18,6 +19,7 @@ from gramforge.util import read_table
 RANKS_FILE = os.environ.get("GRAMFORGE_RANKS_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+MOST_WORDS = 100_000
 P3_LEVELS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
@@ -44,8 +46,10 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _found_units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     files = read_table(spark, d, "source_files")
-    # The project's own word list: bounded, as a hand-kept list is.
-    words = [r["pt_word"] for r in read_table(spark, d, "pt_words").where("pt_word is not null").limit(100_000).collect()]
+    # The project's own word list: a hand-kept one, so a longer table is not it.
+    words = [r["pt_word"] for r in read_table(spark, d, "pt_words").where("pt_word is not null").limit(MOST_WORDS + 1).collect()]
+    if len(words) > MOST_WORDS:
+        raise InvalidOperation(f"over {MOST_WORDS} words")
     return files, natural_language_units(files, extra_words={"pt": words})
 
 

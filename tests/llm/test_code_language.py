@@ -1,7 +1,7 @@
 import pytest
 
 from gramforge.errors import InvalidOperation
-from gramforge.llm.code_language import Identifier, extend_model, language_shares, natural_language_units, plain_words, seed_model
+from gramforge.llm.code_language import Identifier, language_shares, natural_language_units, plain_words, seed_model
 from gramforge.llm.code_lexer import code_only, plain, units
 
 RUST = '''/// Returns the mean of all values
@@ -56,6 +56,24 @@ def test_held_out_sentences(lang):
     assert [ident.language(s)[0] for s in SENTENCES[lang]] == [lang] * 2
 
 
+def test_held_out_speeches(sf):
+    """Accuracy on labelled text no dictionary has seen: the speeches whose label the table gives (some labels are wrong)."""
+    import duckdb
+
+    rows = duckdb.execute(f"select lang, text from '{sf}/documents.parquet' where lang is not null and length(text) > 100").fetchall()
+    ident = Identifier(seed_model())
+    right = sum(ident.language(t)[0] == k for k, t in rows)
+    assert len(rows) > 50 and right / len(rows) > 0.93
+
+
+def test_nothing_is_fitted_on_the_files(spark):
+    body = "// nobody knows why the slope is so small here\n"
+    one = spark.createDataFrame([(1, body, "rust")], "file_id long, body_text string, code_kind string")
+    many = one.union(spark.createDataFrame([(i, "// il reste encore trop de lignes sans valeur\n" * 50, "rust") for i in range(2, 60)], one.schema))
+    pick = lambda df: [tuple(r) for r in natural_language_units(df).where("file_id = 1").collect()]
+    assert pick(one) == pick(many) != []
+
+
 def test_code_is_rejected():
     ident = Identifier(seed_model())
     for s in ("let mut total = x.dot(&y);", "SELECT id, name FROM table_a WHERE x > 0", "for i in range(n): out.append(v[i])", "https://a.invalid/x/y.html", "-----------", "SPDX-License-Identifier: MIT OR Apache-2.0", "%Y-%m-%d %H:%M:%S", "{:>8.3} {}", "", "three words only"):
@@ -65,7 +83,7 @@ def test_code_is_rejected():
 def test_operator_edge_cases(spark):
     body = "// this is a comment that the reader can understand\nlet x = 1; // y = x + 1;\n"
     df = spark.createDataFrame([(1, body, "rust", "q"), (1, body, "rust", "q"), (2, None, "rust", "q"), (3, "", "python", "q"), (4, "# olá", None, "q"), (5, "#" + " the reader can see this text" * 40_000, "python", "q")], "file_id long, body_text string, code_kind string, lang string")
-    model = extend_model(seed_model(), [(body, "rust")])
+    model = seed_model({"pt": ["olá"]})
     found = natural_language_units(df, model=model)
     r = [(x["file_id"], x["line_no"], x["unit_kind"], x["lang"]) for x in found.collect()]
     assert sorted(r) == [(1, 1, "comment", "en"), (1, 1, "comment", "en"), (5, 1, "comment", "en")]

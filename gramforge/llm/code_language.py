@@ -122,13 +122,13 @@ def seed_model(extra_words: Mapping[str, Iterable[str]] | None = None) -> Langua
     return LanguageModel(texts, CODE_SEED.lower().encode())
 
 
-def natural_language_units(df: DataFrame, *, model: LanguageModel | None = None, key: str = "file_id", text: str = "body_text", code_kind: str = "code_kind", min_words: int = 4, extra_words: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
+def natural_language_units(df: DataFrame, *, model: LanguageModel | None = None, key: str = "file_id", text: str = "body_text", code_kind: str = "code_kind", min_words: int = 4, extra_words: Mapping[str, Iterable[str]] | None = None, keep_text: bool = True) -> DataFrame:
     """One row per comment or string literal that holds running text of at least `min_words` words.
 
     Result columns: the key column, `line_no` (from 1, by line feeds), `unit_kind` (comment or string), `lang`, `n_words`,
     `n_chars` (of the readable text) and `unit_text`. NULL or empty texts and unknown code kinds give no rows; repeated
     files give their rows again; `key` may not be named like a result column; texts of any length are read whole; an empty table gives no rows.
-    model: dictionaries of one's own; default `seed_model(extra_words)`.
+    model: dictionaries of one's own; default `seed_model(extra_words)`. keep_text: without it `unit_text` is NULL.
     Tied languages that know equally many words go to the shorter encoding, then to the first by name.
     """
     require(df, key, text, code_kind)
@@ -150,7 +150,7 @@ def natural_language_units(df: DataFrame, *, model: LanguageModel | None = None,
                     lang, n = ident.language(prose, min_words)
                     if lang is not None:
                         who.append(i)
-                        rows.append((line, unit, lang, n, len(prose), prose))
+                        rows.append((line, unit, lang, n, len(prose), prose if keep_text else None))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())).cast(arrow_key), *[pa.array(x, t) for x, t in zip(cols, types, strict=True)]], names=schema.names)
 

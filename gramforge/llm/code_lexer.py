@@ -3,26 +3,15 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 
-_RUST = re.compile(
-    r"""(?P<line>//[^\n]*)
-    |(?P<block>/\*)
-    |(?P<raw>\b(?:br|cr|r)(?P<hash>\#*)")
-    |(?P<str>(?:\b[bc])?")
-    |(?P<char>(?:\bb)?'(?:\\(?:u\{[0-9a-fA-F_]*\}|x[0-9a-fA-F]{2}|[^\n])|[^'\\\n])')
-    |(?P<life>'\w+)""",
-    re.X,
-)
+# Every branch begins with a fixed character, so that the search runs over code without stopping at each word.
+_RUST = re.compile(r"""//[^\n]*|/\*|"|'(?:\\(?:u\{[0-9a-fA-F_]*\}|x[0-9a-fA-F]{2}|[^\n])|[^'\\\n])'|'\w*""")
+_RAW = re.compile(r"(?<!\w)[bc]?r(#*)\Z")
 _RUST_BLOCK = re.compile(r"/\*|\*/")
 _RUST_STR = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.S)
-_PYTHON = re.compile(
-    r"""(?P<line>\#[^\n]*)
-    |(?P<str>\b(?P<pre>[rRbBuUfFtT]{1,2})?(?P<q>\"\"\"|'{3}|"|'))
-    |(?P<bare>(?P<bq>\"\"\"|'{3}|"|'))""",
-    re.X,
-)
+_PYTHON = re.compile(r"""#[^\n]*|\"\"\"|\'\'\'|"|'""")
+_PREFIX = re.compile(r"(?<!\w)[rRbBuUfFtT]{1,2}\Z")
 _PY_END = {
     '"""': re.compile(r'(?:[^"\\]|\\.|"(?!""))*"""', re.S),
     "'''": re.compile(r"(?:[^'\\]|\\.|'(?!''))*'''", re.S),
@@ -31,23 +20,14 @@ _PY_END = {
 }
 
 
-class Unit(tuple):
-    """(line_no, kind, raw, body, is_raw): kind comment or string; body is without delimiters."""
-
-    __slots__ = ()
-
-
-def _rust(text: str) -> Iterator[tuple[int, int, str, str, bool]]:
+def _rust(text: str) -> Iterator[tuple[int, str, str, bool]]:
     at, n = 0, len(text)
-    while at < n:
-        m = _RUST.search(text, at)
-        if not m:
-            return
-        kind = m.lastgroup if m.lastgroup != "hash" else "raw"
-        start, at = m.start(), m.end()
-        if kind == "line":
-            yield start, at, "comment", m[0][2:], True
-        elif kind == "block":
+    while m := _RUST.search(text, at):
+        start, at = m.span()
+        head = text[start : start + 2]
+        if head == "//":
+            yield start, "comment", m[0][2:], True
+        elif head == "/*":
             depth = 1
             while depth:
                 e = _RUST_BLOCK.search(text, at)
@@ -56,41 +36,41 @@ def _rust(text: str) -> Iterator[tuple[int, int, str, str, bool]]:
                     break
                 depth += 1 if e[0] == "/*" else -1
                 at = e.end()
-            yield start, at, "comment", text[start + 2 : at - 2 * (depth == 0)], True
-        elif kind == "raw":
-            end = text.find('"' + m["hash"], at)
-            stop = n if end < 0 else end
-            yield start, stop, "string", text[at:stop], True
-            at = n if end < 0 else end + 1 + len(m["hash"])
-        elif kind == "str":
-            e = _RUST_STR.match(text, at)
-            body = text[at : e.end() - 1] if e else text[at:]
-            yield start, at, "string", body, False
-            at = e.end() if e else n
-
-
-def _python(text: str) -> Iterator[tuple[int, int, str, str, bool]]:
+            yield start, "comment", text[start + 2 : at - 2 * (depth == 0)], True
+        elif head[0] == '"':
+            # What stands before the quote says whether the literal is raw, and how many marks close it.
+            last = text[start - 1] if start else ""
+            raw = _RAW.search(text, max(0, start - 300), start) if last in ("r", "#") else None
+            if raw:
+                end = text.find('"' + raw[1], at)
+                yield start, "string", text[at : n if end < 0 else end], True
+                at = n if end < 0 else end + 1 + len(raw[1])
+            else:
+                e = _RUST_STR.match(text, at)
+                yield start, "string", text[at : e.end() - 1] if e else text[at:], False
+                at = e.end() if e else n
+
+
+def _python(text: str) -> Iterator[tuple[int, str, str, bool]]:
     at, n = 0, len(text)
-    while at < n:
-        m = _PYTHON.search(text, at)
-        if not m:
-            return
-        start, at = m.start(), m.end()
-        if m["line"] is not None:
-            yield start, at, "comment", m[0][1:], True
-        else:
-            q = m["q"] or m["bq"]
-            raw = "r" in (m["pre"] or "").lower()
-            e = _PY_END[q].match(text, at)
-            if e:
-                yield start, e.end(), "string", text[at : e.end() - len(q)], raw
-                at = e.end()
-            elif len(q) == 3:
-                yield start, n, "string", text[at:], raw
-                at = n
-            else:  # an unclosed literal ends with its line
-                stop = text.find("\n", at)
-                at = n if stop < 0 else stop
+    while m := _PYTHON.search(text, at):
+        start, at = m.span()
+        q = m[0]
+        if q[0] == "#":
+            yield start, "comment", q[1:], True
+            continue
+        pre = _PREFIX.search(text, max(0, start - 3), start) if start and text[start - 1].isalpha() else None
+        raw = pre is not None and "r" in pre[0].lower()
+        e = _PY_END[q].match(text, at)
+        if e:
+            yield start, "string", text[at : e.end() - len(q)], raw
+            at = e.end()
+        elif len(q) == 3:
+            yield start, "string", text[at:], raw
+            at = n
+        else:  # an unclosed literal ends with its line
+            stop = text.find("\n", at)
+            at = n if stop < 0 else stop
 
 
 _LEXERS = {"rust": _rust, "python": _python}
@@ -101,20 +81,12 @@ def units(text: str | None, code_kind: str | None) -> list[tuple[int, str, str,
     lexer = _LEXERS.get((code_kind or "").strip().lower())
     if not text or lexer is None:
         return []
-    lines = [m.start() for m in re.finditer("\n", text)]
-    return [(bisect_right(lines, start - 1) + 1 if start else 1, kind, body, raw) for start, _, kind, body, raw in lexer(text)]
-
-
-def code_only(text: str | None, code_kind: str | None) -> str:
-    """The text with comments and literals cut out."""
-    lexer = _LEXERS.get((code_kind or "").strip().lower())
-    if not text or lexer is None:
-        return ""
-    out, at = [], 0
-    for start, stop, _, body, _ in lexer(text):
-        out.append(text[at:start])
-        at = max(stop, start + len(body))
-    return " ".join(out)
+    out, line, seen = [], 1, 0
+    for start, kind, body, raw in lexer(text):
+        line += text.count("\n", seen, start)
+        seen = start
+        out.append((line, kind, body, raw))
+    return out
 
 
 _ESCAPE = re.compile(r"\\(?:u\{([0-9a-fA-F_]+)\}|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|x([0-9a-fA-F]{2})|(\r?\n[ \t]*)|(.))", re.S)

@@ -50,7 +50,7 @@ def _found_units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     words = [r["pt_word"] for r in read_table(spark, d, "pt_words").where("pt_word is not null").limit(MOST_WORDS + 1).collect()]
     if len(words) > MOST_WORDS:
         raise InvalidOperation(f"over {MOST_WORDS} words")
-    return files, natural_language_units(files, extra_words={"pt": words})
+    return files, natural_language_units(files, extra_words={"pt": words}, keep_text=False)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 
 from gramforge.errors import InvalidOperation
 from gramforge.llm.code_language import Identifier, language_shares, natural_language_units, plain_words, seed_model
-from gramforge.llm.code_lexer import code_only, plain, units
+from gramforge.llm.code_lexer import plain, units
 
 RUST = '''/// Returns the mean of all values
 fn f<'a>(c: char) -> &'a str { // trailing note here
@@ -25,7 +25,8 @@ def f(x):
 def test_rust_lexer():
     got = [(n, k, b.strip()) for n, k, b, _ in units(RUST, "rust")]
     assert got == [(1, "comment", "/ Returns the mean of all values"), (2, "comment", "trailing note here"), (4, "string", 'two \\"quoted\\" // words'), (4, "string", 'raw "x" text'), (4, "string", "bytes"), (5, "comment", "outer /* inner */ still\n       comment"), (7, "string", "open")]
-    assert "mean" not in code_only(RUST, "rust") and "let q" in code_only(RUST, "rust")
+    assert [u[2:] for u in units('r##"c"#"## cr"d', "rust")] == [('c"#', True), ("d", True)]
+    assert [u[2:] for u in units('bar"\\"a" b"c"', "rust")] == [('\\"a', False), ("c", False)]
 
 
 def test_python_lexer():

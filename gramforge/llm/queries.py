@@ -62,7 +62,8 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+    found = leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+    return found.select("doc_id", "item_id", "shared_runs", F.round("item_overlap", 9).alias("item_overlap"), F.col("answer_found").cast("int").alias("answer_found"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +82,21 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source what the mixture must hold: no document over its repeats, every copy once, the share within one document of its target."""
+    mix, report = _mixed(spark, d)
+    used = mix.groupBy("source").agg(F.max("repeats").alias("most"), F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id", "copy_no").alias("copies"), F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("longest"))
+    total = report.agg(F.sum("chosen_tokens").alias("total"), F.sum(F.when(F.col("available_tokens") > 0, F.col("target_share"))).alias("whole"))
+    x = report.join(used, "source", "left").crossJoin(F.broadcast(total))  # one row
+    share = F.abs(F.col("n") - F.col("total") * F.col("target_share") / F.col("whole")) <= 2 * F.col("longest")
+    return x.select(
+        "source", "target_share", "max_repeats", "available_docs",
+        F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("repeats_kept"),
+        F.coalesce((F.col("rows") == F.col("copies")) & (F.col("n") == F.col("chosen_tokens")), F.lit(True)).alias("copies_once"),
+        F.coalesce(share, F.col("available_docs") == 0).alias("share_met"),
+    )
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans(read_table(spark, d, "documents"))
 
@@ -90,7 +106,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(docs, shared_spans(docs)).withColumn("shared_share", F.round("shared_share", 9))
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_within_bound, p3_counts, p5_found, p5_shares, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_within_bound, p3_counts, p5_found, p5_shares, p6_found, p6_leaks, p7_mix, p7_shares, p7_checks, p8_found, p8_shares)}
 
 _P8 = """
 win as (select doc_id, unnest(range(0, length(text) - 349)) as s, text from documents where length(text) >= 350),
@@ -108,11 +124,22 @@ doc_runs as (select id, array_to_string(w[k:k+12], ' ') as g from (select id, w,
 item_runs as (select id, array_to_string(w[k:k+12], ' ') as g from (select id, w, unnest(range(1, len(w) - 11)) as k from tests))
 """
 _FINITE = "wage is not null and isfinite(wage)"
+#: A pair's measures besides its score.
+_P6_LEAKS = f"""with {_P6},
+answers as (select item_id as id, regexp_extract_all(strip_accents(lower(answer)), '[\\p{{L}}\\p{{Nd}}]+') as a from eval_items),
+pairs as (select d.id as doc, i.id as item, count(*) as shared_runs from doc_runs d join (select distinct id, g from item_runs) i using (g) group by all)
+select doc as doc_id, item as item_id, shared_runs, round(len(list_intersect(list_distinct(d.w), t.w)) / len(list_distinct(t.w)), 9) as item_overlap,
+  case when len(a) > 0 then (len(list_intersect(list_distinct(a), d.w)) = len(list_distinct(a)))::int end as answer_found
+from pairs join docs d on d.id = doc join tests t on t.id = item join answers n on n.id = item"""
 ORACLE = {
+    "p6_leaks": _P6_LEAKS,
     "p3_within_bound": f"""select education, q::double as q, count(*) as n_values, true as within_bound from wage_data, unnest([{", ".join(map(str, P3_LEVELS))}]) t(q) where {_FINITE} group by all""",
     "p3_counts": f"""select education, count(*) as n_values from wage_data where {_FINITE}
   and not coalesce(received_day - survey_day > 30, false) group by education having count(*) > 0""",
     "p6_found": f"with {_P6} select distinct d.id as doc_id, i.id as item_id from doc_runs d join item_runs i using (g)",
+    "p7_checks": """with n as (select lower(trim(source)) as source, count(*) as k from documents group by 1)
+select lower(trim(t.source)) as source, target_share, max_repeats, coalesce(k, 0) as available_docs, true as repeats_kept, true as copies_once, true as share_met
+from source_targets t left join n on n.source = lower(trim(t.source))""",
     "p8_found": f"with {_P8} select doc_id, span_start, span_end from spans",
     "p8_shares": f"""with {_P8}, sums as (select doc_id, sum(span_end - span_start) as k from spans group by doc_id)
 select doc_id, coalesce(length(text), 0) as n_chars, coalesce(k, 0)::bigint as shared_chars, round(case when length(text) > 0 then coalesce(k, 0) / length(text) else 0 end, 9) as shared_share

@@ -54,9 +54,16 @@ def test_edge_cases(spark):
 def test_item_blocks_give_the_same(spark):
     docs, items = _tables(spark)
     more = items.unionByName(spark.createDataFrame([(f"k{i}", f"alpha beta {i} gamma delta one two three four five six seven eight nine ten", None) for i in range(20)], items.schema))
-    a = {tuple(r)[:2] for r in leaked_items(docs, more).collect()}
-    b = {tuple(r)[:2] for r in leaked_items(docs, more, block_bytes=200).collect()}
-    assert a == b
+    key = lambda df: sorted((str(r["doc_id"]), r["item_id"], round(r["bm25_score"], 9), *tuple(r)[3:]) for r in df.collect())
+    whole = key(leaked_items(docs, more))
+    assert whole and whole == key(leaked_items(docs, more, block_bytes=600)) == key(leaked_items(docs, more, block_bytes=200))
+
+
+def test_overlap_and_answer_as_conditions(spark):
+    docs, items = _tables(spark)
+    assert {r["doc_id"] for r in leaked_items(docs, items, need_answer=True).collect()} == {1}
+    over = {r["doc_id"]: r["item_overlap"] for r in leaked_items(docs, items).collect()}
+    assert {r["doc_id"] for r in leaked_items(docs, items, min_item_overlap=0.99).collect()} == {d for d, o in over.items() if o >= 0.99}
 
 
 def test_run_across_passages_in_a_long_text(spark):

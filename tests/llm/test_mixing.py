@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from gramforge.errors import InvalidOperation
-from gramforge.llm.mixing import mix_sources, plan_quotas, split_tree, with_token_counts
+from gramforge.llm.mixing import mix_sources, plan_quotas, shard_ranges, split_tree, tree_nodes, with_token_counts
 from gramforge.llm.queries import RANKS_FILE
 
 TARGET = "source string, target_share double, max_repeats int"
@@ -19,14 +19,39 @@ def test_plan_meets_shares_or_caps():
     assert [p.quota for p in plan] == [1000, 200, 0]
 
 
+def _tree(units, shards, seed):
+    return np.array([q for _, q in split_tree(units, 0, shards, seed)])
+
+
 def test_split_tree_is_exact():
-    q = split_tree([1000, 10, 0, 333], 7, 1)
+    q = _tree([1000, 10, 0, 333], 7, 1)
     assert q.sum(axis=0).tolist() == [1000, 10, 0, 333]
     assert q.sum(axis=1).max() - q.sum(axis=1).min() <= 7
-    means = np.mean([split_tree([900, 90], 3, s) for s in range(200)], axis=0)
+    means = np.mean([_tree([900, 90], 3, s) for s in range(200)], axis=0)
     assert np.abs(means[:, 1] - 30).max() < 1.5
 
 
+def test_subtrees_give_the_whole_tree(spark):
+    units = [500, 0, 61, 9]
+    whole = _tree(units, 37, 5)
+    parts = [q for have, at, n in tree_nodes(np.array(units), 37, 5, 8) for _, q in split_tree(have, at, n, 5)]
+    assert len(tree_nodes(np.array(units), 37, 5, 8)) == 8 and (np.array(parts) == whole).all()
+    rows = shard_ranges(spark, units, 37, 5).collect()
+    for j, n in enumerate(units):
+        mine = sorted((r["lo"], r["hi"], r["shard"]) for r in rows if r["j"] == j)
+        assert [u for lo, hi, _ in mine for u in range(lo, hi + 1)] == list(range(n))
+        assert [hi - lo + 1 for lo, hi, _ in mine] == [int(q[j]) for q in whole if q[j]]
+
+
+def test_thousands_of_sources(spark):
+    docs = spark.range(12_000).selectExpr("id as doc_id", "concat('s', id % 4000) as source", "repeat('word ', int(3 + id % 5)) as text")
+    targets = spark.range(5000).selectExpr("concat('s', id) as source", "1.0 / 5000 as target_share", "2 as max_repeats")
+    mix, report = mix_sources(docs, targets, ranks_file=RANKS_FILE, total_tokens=20_000, shard_tokens=500)
+    r = report.selectExpr("count(*) as k", "sum(chosen_tokens) as n", "sum(chosen_copies) as c").first()
+    got = mix.selectExpr("count(*) as c", "sum(n_tokens) as n", "count(distinct doc_id, copy_no) as d").first()
+    assert r["k"] == 5000 and (r["n"], r["c"]) == (got["n"], got["c"]) and got["d"] == got["c"] and 0 < r["n"]
+
+
 def _docs(spark):
     rows = [(i, "word " * (5 + i % 40), ("A ", "a", "b")[i % 3] if i % 10 else None) for i in range(900)]
     rows += [(900 + i, "tiny text here", "c") for i in range(3)] + [(999, "", "b"), (998, None, "b"), (5, "word " * 9, "a")]
@@ -66,6 +91,8 @@ def test_empty_and_bad_targets(spark):
     assert mix.count() == 0 and report.first()["actual_share"] == 0.0
     with pytest.raises(InvalidOperation):
         mix_sources(_docs(spark), targets.unionByName(targets), ranks_file=RANKS_FILE)
+    with pytest.raises(InvalidOperation):
+        mix_sources(_docs(spark), targets.unionByName(targets.selectExpr("'b' as source", "target_share", "max_repeats")), ranks_file=RANKS_FILE, max_sources=1)
 
 
 def test_token_counts(spark):

@@ -84,18 +84,21 @@ def _chars(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
-    """Index of the leftmost least value of every window of w values."""
-    n = len(h) - w + 1
-    at, size = np.arange(len(h)), 1
+#: Low bits that carry a place in a batch of texts while least values are sought.
+_PLACE = 22
 
-    def best(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.where(h[a] <= h[b], a, b)
 
+def _sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
+    """Index of the least value, by its upper bits, of every window of w values; the leftmost of equal ones."""
+    mask = np.uint64((1 << _PLACE) - 1)
+    low = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
+    n, size = len(h) - w + 1, 1
     while size * 2 <= w:
-        at = best(at[:-size], at[size:])
+        low = np.minimum(low[:-size], low[size:])
         size *= 2
-    return best(at[:n], at[w - size : w - size + n]) if size < w else at[:n]
+    if size < w:
+        low = np.minimum(low[:n], low[w - size : w - size + n])
+    return (low & mask).astype(np.int64)
 
 
 def anchor_ranges(texts: list[str], min_len: int) -> tuple[np.ndarray, ...]:
@@ -169,8 +172,8 @@ def shared_spans(df: DataFrame, *, doc: str = "doc_id", text: str = "text", min_
     """
     require(df, doc, text)
     reject_clash([doc], ("span_start", "span_end"))
-    if min_len < 2:
-        raise InvalidOperation("min_len must be 2 or more")
+    if not 2 <= min_len <= 1 << 20:
+        raise InvalidOperation("min_len must lie between 2 and 2**20")
     kind = df.schema[doc].dataType
     docs = df.select(col(doc).alias("d"), col(text).alias("t")).where(F.col("d").isNotNull() & (F.length("t") >= min_len)).withColumn("th", F.xxhash64("t"))
     arrow_kind = docs.select("d").limit(0).toArrow().schema.field("d").type
@@ -192,10 +195,10 @@ def shared_spans(df: DataFrame, *, doc: str = "doc_id", text: str = "text", min_
 
     # One range of each class whose anchor also has other classes: its windows are counted one by one.
     todo = classes.where("n > 1").select("fp", "cls", "lo", "hi", "rep.*")
-    todo = todo.groupBy("d", "th").agg(F.collect_list(F.struct("a", "b", "fp", "cls", "lo", "hi")).alias("r"))
-    win = T.StructType([T.StructField("fp", T.LongType()), T.StructField("h", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("rel", T.IntegerType()), T.StructField("lo", kind), T.StructField("hi", kind)])
+    holders = T.StructType([*(T.StructField(c, T.LongType()) for c in ("fp", "h")), T.StructField("lo", kind), T.StructField("hi", kind)])
+    places = T.StructType([*(T.StructField(c, T.LongType()) for c in ("fp", "h", "cls")), T.StructField("rel", T.IntegerType())])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch], held: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             for i, t in enumerate(batch.column(0).to_pylist()):
@@ -204,11 +207,15 @@ def shared_spans(df: DataFrame, *, doc: str = "doc_id", text: str = "text", min_
                 for lo in range(0, len(idx), _OUT_ROWS):
                     s = slice(lo, lo + _OUT_ROWS)
                     take = pa.array(idx[s])
-                    yield pa.RecordBatch.from_arrays([r.field("fp").take(take), pa.array(h[s].view(np.int64), i64), r.field("cls").take(take), pa.array(rel[s].astype(np.int32)), r.field("lo").take(take), r.field("hi").take(take)], names=win.names)
+                    more = [r.field("lo").take(take), r.field("hi").take(take)] if held else [r.field("cls").take(take), pa.array(rel[s].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([r.field("fp").take(take), pa.array(h[s].view(np.int64), i64), *more], names=(holders if held else places).names)
+
+    def hashed(which: DataFrame, held: bool) -> DataFrame:
+        lists = which.groupBy("d", "th").agg(F.collect_list(F.struct("a", "b", "fp", "cls", "lo", "hi")).alias("r"))
+        return docs.join(lists, ["d", "th"]).select("t", "r").mapInArrow(lambda batches: windows(batches, held), holders if held else places)
 
-    w = docs.join(todo, ["d", "th"]).select("t", "r").mapInArrow(windows, win)
-    hits = w.groupBy("fp", "h").agg(F.min("lo").alias("l"), F.max("hi").alias("u")).where("l <> u").select("fp", "h")
-    parts = w.where("lo = hi").select("fp", "h", "cls", "rel").join(hits, ["fp", "h"]).groupBy("fp", "cls").agg(F.min("rel").alias("r0"), F.max("rel").alias("r1"))
+    hits = hashed(todo, True).groupBy("fp", "h").agg(F.min("lo").alias("l"), F.max("hi").alias("u")).where("l <> u").select("fp", "h")
+    parts = hashed(todo.where("lo = hi"), False).join(hits, ["fp", "h"]).groupBy("fp", "cls").agg(F.min("rel").alias("r0"), F.max("rel").alias("r1"))
     whole = classes.where("lo <> hi").select("fp", "cls", F.lit(None).cast("int").alias("r0"), F.lit(None).cast("int").alias("r1"))
     found = anchors.join(parts.unionByName(whole), ["fp", "cls"])
     spans = found.select("d", (F.col("a") + F.coalesce("r0", F.lit(0))).alias("s"), (F.coalesce(F.col("a") + F.col("r1"), F.col("b")) + min_len).alias("e"))

@@ -141,7 +141,7 @@ def shard_ranges(spark: SparkSession, units: list[int], shards: int, seed: int)
     for have, at, n in nodes:
         rows.append((at, n, have.tolist(), start.tolist()))
         start = start + have
-    table = spark.createDataFrame(rows, "first long, n long, units array<long>, start array<long>").repartition(len(rows))
+    table = spark.createDataFrame(rows, "first long, n long, units array<long>, start array<long>").repartition(min(len(rows), spark.sparkContext.defaultParallelism))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

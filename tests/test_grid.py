@@ -45,6 +45,13 @@ def test_methods_and_empty(spark):
     assert regular_grid(df, ["k"], "t", 10, "y", valid=F.lit(None).cast("boolean")).count() == 0
 
 
+def test_a_gap_over_many_shards_is_spread(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 1000, 3.0)], "k string, t long, y double")
+    got = regular_grid(df, ["k"], "t", 1, "y", shard_slots=20)
+    tasks = got.where("was_missing").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 999
+
+
 def test_clashing_names(spark):
     df = spark.createDataFrame([("a", 1, 1.0, 9, 9, 9)], "k string, t long, y double, st int, prev int, piece int")
     assert regular_grid(df, ["k"], "t", 1, "y").count() == 1

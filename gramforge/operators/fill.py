@@ -1,11 +1,16 @@
 """Filling missing values from rows of the same group and time.
 
 Numeric fields follow a mixed-effects model y = mu + u_group + v_time + e with
-random group and time effects. Variance components come from within-cell and
-between-level sums of squares; effects are best linear unbiased predictors,
+random group and time effects. The variance components solve the expectations of the two between-level
+sums of squares together, given the within-cell one; effects are best linear unbiased predictors,
 i.e. level means shrunk by n*s2/(n*s2 + s2_error), refined by alternating sweeps
-on the table of (group, time) cells. Categorical fields follow a multinomial model
-per group, shrunk towards the class shares of the whole table.
+on the table of (group, time) cells.
+
+Categorical fields follow a multinomial model with group and time effects,
+log P(c | g, t) = log share_c + a_gc + b_tc + const, both effects shrunken: with the other effect fixed, the
+multiplier exp(a_gc) is the posterior mean (n_gc + s*share_c) / (E_gc + s*share_c) of a gamma-Poisson model, E_gc being the count
+expected without it and s the strength, estimated by moments. Without a time this is the Dirichlet-multinomial rule
+P(c | g) = (n_gc + s*share_c) / (n_g + s).
 
 Every step works on pre-aggregated cells; rows that already hold a value are never
 shuffled, only rows to be filled are joined with the fitted effects.
@@ -18,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramforge.util import checkpoint, col, free_name, require
+from gramforge.util import checkpoint, col, free_name, join_on, require
 
 
 def _branches(df: DataFrame, valid: Column, group: str) -> tuple[DataFrame, DataFrame]:
@@ -27,31 +32,89 @@ def _branches(df: DataFrame, valid: Column, group: str) -> tuple[DataFrame, Data
     return df.where(~open_), df.where(open_)
 
 
-def fill_category(df: DataFrame, column: str, group: str, *, valid: Column | None = None, strength: float = 1.0, mask: str | None = None) -> DataFrame:
-    """Fill `column` with the most probable class of the row's `group`.
-
-    P(class | group) = (n_gc + strength * share_c) / (n_g + strength), over the classes
-    seen in the group; ties go to the smallest class. `valid` says which values are
-    given (default: not NULL); all others are missing. Result: all rows and columns of
+def _strength(pairs: DataFrame, level: str, shares: DataFrame) -> float:
+    """Prior weight s of a factor by moments: two rows of a level agree with chance (1 + s*Q)/(1 + s), Q being the chance over all rows."""
+    lv = pairs.groupBy(level).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("a"))
+    r = lv.agg(F.sum("a").alias("a"), F.sum(F.col("n") * (F.col("n") - 1)).alias("p"), F.sum("n").alias("n")).first()
+    if not r["p"]:
+        return 1.0
+    q = shares.agg(F.sum(F.pow("share", 2))).first()[0]
+    agree = r["a"] / r["p"]
+    return min(1e6, max(1e-3, (1 - agree) / (agree - q))) if agree > q else 1e6
+
+
+class _Multinomial:
+    """Multipliers th of (g, c) and ps of (t, c); pairs that never occur have the multiplier of a count of 0."""
+
+    def __init__(self, cells: DataFrame, timed: bool, strength: float | None, sweeps: int):
+        self.shares = checkpoint(cells.groupBy("c").agg(F.sum("n").alias("tot")).select("c", (F.col("tot") / cells.agg(F.sum("n")).scalar()).alias("share")))
+        gc = cells.groupBy("g", "c").agg(F.sum("n").alias("n"))
+        self.s = _strength(gc, "g", self.shares) if strength is None else strength
+        self.of_g = cells.groupBy("g").agg(F.sum("n").alias("ng")).withColumn("th0", F.lit(self.s) / (F.col("ng") + self.s))
+        self.gc = gc.join(self.shares, "c").join(self.of_g, "g")
+        self.th = self._multiplier(self.gc, F.col("ng"), self.s)
+        self.ps = None
+        if not timed:
+            return
+        tc = cells.groupBy("t", "c").agg(F.sum("n").alias("n"))
+        st = _strength(tc, "t", self.shares) if strength is None else strength
+        self.of_t = checkpoint(cells.groupBy("t").agg(F.sum("n").alias("nt")).withColumn("ps0", F.lit(st) / (F.col("nt") + st)))
+        gt = checkpoint(join_on(cells.groupBy("g", "t").agg(F.sum("n").alias("m")).join(self.of_g, "g"), self.of_t, ["t"], "inner"))
+        for _ in range(sweeps):
+            # What the group effects let expect: every class at its group's multiplier, seen classes at their own.
+            rest = gt.groupBy("t").agg(F.sum(F.col("m") * F.col("th0")).alias("rest"))
+            own = self.th.select("g", "c", "th").join(gt, "g").groupBy("t", "c").agg(F.sum(F.col("m") * (F.col("th") - F.col("th0"))).alias("own"))
+            x = join_on(join_on(tc.join(self.shares, "c"), rest, ["t"], "inner"), own, ["t", "c"])
+            self.ps = checkpoint(self._multiplier(x, F.col("rest") + F.coalesce("own", F.lit(0.0)), st).select("t", "c", F.col("th").alias("ps")))
+            rest = gt.groupBy("g").agg(F.sum(F.col("m") * F.col("ps0")).alias("rest"))
+            own = join_on(self.gc.select("g", "c").join(gt, "g"), self.ps, ["t", "c"], "inner").groupBy("g", "c").agg(F.sum(F.col("m") * (F.col("ps") - F.col("ps0"))).alias("own"))
+            x = self.gc.join(rest, "g").join(own, ["g", "c"], "left")
+            self.th = checkpoint(self._multiplier(x, F.col("rest") + F.coalesce("own", F.lit(0.0)), self.s))
+
+    @staticmethod
+    def _multiplier(x: DataFrame, expected: Column, s: float) -> DataFrame:
+        """th = (n + s*share) / (share*expected + s*share)."""
+        return x.withColumn("th", (F.col("n") + s * F.col("share")) / (F.col("share") * (expected + s)))
+
+    def best(self, wanted: DataFrame | None) -> DataFrame:
+        """(g, [t,] best): the most probable class seen in the group; of equal scores the smallest."""
+        score = F.ln("share") + F.ln("th")
+        if self.ps is None:
+            x, keys = self.th, ["g"]
+        else:
+            x = join_on(join_on(wanted.join(self.th.select("g", "c", "share", "th"), "g"), self.ps, ["t", "c"]), self.of_t, ["t"])
+            score, keys = score + F.ln(F.coalesce("ps", "ps0", F.lit(1.0))), ["g", "t"]
+        # The least (-score, class); scores are rounded, as equal ones may differ in their last digits.
+        return x.groupBy(*keys).agg(F.min(F.struct(F.round(-score, 9).alias("a"), F.col("c").alias("b")))["b"].alias("best"))
+
+
+def fill_category(df: DataFrame, column: str, group: str, *, time: str | None = None, valid: Column | None = None, strength: float | None = None, sweeps: int = 2, mask: str | None = None) -> DataFrame:
+    """Fill `column` with the most probable class of the row's `group` (and `time`) under the multinomial model.
+
+    Candidates are the classes seen in the group; of equally probable ones the smallest is taken. `valid` says which values are
+    given (default: not NULL); all others are missing. strength: prior weight of both effects (default: estimated for each). sweeps: times the
+    time and group effects are re-estimated given each other. Result: all rows and columns of
     `df`, `column` filled where possible and NULL where a missing value cannot be filled,
     and a boolean `mask` column (default `<column>_was_filled`, with underscores appended
     while that name is taken) that is true exactly for filled values. A NULL group, a group
-    without a given value and an empty table fill nothing. Repeated rows count each.
+    without a given value and an empty table fill nothing. A NULL time is a level of its own; a time without given values has no effect. Repeated rows count each.
     """
-    require(df, column, group)
+    require(df, column, group, *([time] if time else []))
     valid = col(column).isNotNull() if valid is None else valid
     mask = free_name(mask or f"{column}_was_filled", df.columns)
-    n, tot, best, rec = (free_name(x, [*df.columns, mask]) for x in ("_n", "_tot", "_best", "_rec"))
-    cells = df.where(F.coalesce(valid, F.lit(False)) & col(group).isNotNull()).groupBy(col(group), col(column)).agg(F.count(F.lit(1)).alias(n))
-    shares = cells.groupBy(col(column)).agg(F.sum(col(n)).alias(tot))
-    all_n = shares.agg(F.sum(col(tot)).alias("x")).scalar()
-    scored = cells.join(shares, column).select(col(group), F.struct((col(n) + F.lit(float(strength)) * col(tot) / all_n).alias("score"), col(column).alias("value")).alias(rec))
-    # The least (-score, value): the top score, and of equal scores the smallest class.
-    model = scored.groupBy(col(group)).agg(F.min(F.struct((-col(rec)["score"]).alias("a"), col(rec)["value"].alias("value"))).alias(rec))
-    model = checkpoint(model.select(col(group), col(rec)["value"].alias(best)))
     keep, todo = _branches(df, valid, group)
+    at = col(time) if time else F.lit(0)
+    given = df.where(F.coalesce(valid, F.lit(False)) & col(group).isNotNull())
+    cells = checkpoint(given.groupBy(col(group).alias("g"), at.alias("t"), col(column).alias("c")).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    model = _Multinomial(cells, time is not None, strength, sweeps)
+    best = model.best(todo.select(col(group).alias("g"), at.alias("t")).distinct() if time else None)
+    g_, t_, best_ = (free_name(x, [*df.columns, mask]) for x in ("_g", "_t", "_best"))
+    best = checkpoint(best.select(F.col("g").alias(g_), *([F.col("t").alias(t_)] if time else []), F.col("best").alias(best_)))
+    on = col(group) == col(g_)
+    if time:
+        on &= col(time).eqNullSafe(col(t_))
     own = [col(c) if c != column else F.when(F.coalesce(valid, F.lit(False)), col(c)).alias(c) for c in df.columns]
-    filled = todo.join(model, group, "left").select(*[col(c) if c != column else col(best).alias(c) for c in df.columns], col(best).isNotNull().alias(mask))
+    filled = todo.join(best, on, "left").select(*[col(c) if c != column else col(best_).alias(c) for c in df.columns], col(best_).isNotNull().alias(mask))
     return keep.select(*own, F.lit(False).alias(mask)).unionByName(filled)
 
 
@@ -64,14 +127,15 @@ def cell_moments(df: DataFrame, column: str, group: str, time: str | None, valid
     return cells.select("g", "t", "n", (F.col("n") * F.col("m")).alias("s"), (F.col("n") * F.col("v")).alias("ss"), "lo", "hi")
 
 
-def _between(cells: DataFrame, key: str, prefix: str) -> DataFrame:
-    """One row: levels, sum of squares between levels' means, and sum of n^2, of one factor."""
-    lv = cells.groupBy(key).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+def _between(cells: DataFrame, key: str) -> DataFrame:
+    """One row of one factor: levels k, sum of squares b between level means, sum q of squared level sizes, and x, the sum over cells of size^2 / level size."""
+    lv = cells.groupBy(key).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("n") * F.col("n")).alias("nn"))
     mean = F.sum("s") / F.sum("n")
     return lv.agg(
-        F.count(F.lit(1)).alias(f"{prefix}k"),
-        (F.sum(F.col("s") * F.col("s") / F.col("n")) - F.sum("n") * mean * mean).alias(f"{prefix}b"),
-        F.sum(F.col("n") * F.col("n")).alias(f"{prefix}q"),
+        F.count(F.lit(1)).alias("k"),
+        (F.sum(F.col("s") * F.col("s") / F.col("n")) - F.sum("n") * mean * mean).alias("b"),
+        F.sum(F.col("n") * F.col("n")).alias("q"),
+        F.sum(F.col("nn") / F.col("n")).alias("x"),
     )
 
 
@@ -86,19 +150,26 @@ class VarianceComponents:
 
 
 def variance_components(cells: DataFrame) -> VarianceComponents:
-    """By the method of moments from one row of sums."""
+    """By the method of moments from one row of sums.
+
+    E(b_group) = (k_g - 1) s2e + (n - q_g/n) s2u + (x_g - q_t/n) s2v and likewise for time are solved together, so that in an
+    unbalanced table the variance of one factor is not taken for the other's. Where that gives no admissible pair, each
+    factor's equation is solved without the other's term, which errs upwards and so shrinks less.
+    """
     base = cells.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("w"), F.count(F.lit(1)).alias("c")).select(F.struct("*").alias("base"))
-    g, t = (_between(cells, k, k).select(F.struct("*").alias("r")).scalar() for k in ("g", "t"))
+    g, t = (_between(cells, k).select(F.struct("*").alias("r")).scalar() for k in ("g", "t"))
     r = base.select("base.*", g.alias("g"), t.alias("t")).first()
     if not r["n"]:
         return VarianceComponents(0.0, 0.0, 0.0, 0.0)
     n, se = r["n"], r["w"] / (r["n"] - r["c"]) if r["n"] > r["c"] else 0.0
-
-    def part(x, p: str) -> float:
-        den = n - x[f"{p}q"] / n
-        return max(0.0, (x[f"{p}b"] - (x[f"{p}k"] - 1) * se) / den) if den > 0 else 0.0
-
-    return VarianceComponents(r["s"] / n, se, part(r["g"], "g"), part(r["t"], "t"))
+    g, t = r["g"], r["t"]
+    a, b, c, d = n - g["q"] / n, g["x"] - t["q"] / n, t["x"] - g["q"] / n, n - t["q"] / n
+    y, z = g["b"] - (g["k"] - 1) * se, t["b"] - (t["k"] - 1) * se
+    det = a * d - b * c
+    su, sv = ((d * y - b * z) / det, (a * z - c * y) / det) if det > 1e-9 * n * n else (-1.0, -1.0)
+    if min(su, sv) < 0:
+        su, sv = y / a if a > 0 else 0.0, z / d if d > 0 else 0.0
+    return VarianceComponents(r["s"] / n, se, max(0.0, su), max(0.0, sv))
 
 
 def _effects(cells: DataFrame, key: str, other: DataFrame | None, other_key: str, vc: VarianceComponents, var: str) -> DataFrame:
@@ -117,7 +188,8 @@ def fill_numeric(df: DataFrame, column: str, group: str, *, time: str | None = N
     """Fill `column` with its mixed-effects prediction from rows of the same `group` and `time`.
 
     valid: which values are given (default: neither NULL nor NaN); all others are missing.
-    link: "log" models the logarithm (the given values must then be positive). sweeps: times the
+    link: "log" models the logarithm (the given values must then be positive), so the value filled in is the median of the
+    row's distribution and lies below its mean. sweeps: times the
     time and group effects are re-estimated given each other. A missing value is filled if
     its group is not NULL and has a given value; the prediction is kept inside the group's own range
     and rounded for integral columns. A time level without given values has effect 0.

@@ -23,7 +23,7 @@ WAGE_RECORD = (
 
 def filled_panel(panel: DataFrame) -> DataFrame:
     x1 = F.col("x1")
-    firms = fill_category(panel, "firm_id", "batch_id", valid=F.col("firm_id") >= FIRST_FIRM)
+    firms = fill_category(panel, "firm_id", "batch_id", time="wave", valid=F.col("firm_id") >= FIRST_FIRM)
     return fill_numeric(firms, "x1", "firm_id", time="wave", valid=(x1 > 0) & (x1 < TOP_X1))
 
 
@@ -43,12 +43,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return both.unionByName(cases(income, "income_dataset", "resp_id", "income", "district_id"))
 
 
+def _shown(df: DataFrame, *names: str) -> DataFrame:
+    """Columns of a result, a filled x1 with three decimals."""
+    x1 = F.when(F.col("x1_was_filled"), F.round("x1", 3)).otherwise(F.col("x1")).alias("x1") if "x1" in names else None
+    return df.select(*[x1 if n == "x1" else n for n in names])
+
+
 def p1_filled_panel(spark: SparkSession, d: str) -> DataFrame:
-    return filled_panel(read_table(spark, d, "panel_data"))
+    return _shown(filled_panel(read_table(spark, d, "panel_data")), "obs_id", "firm_id", "firm_id_was_filled", "x1", "x1_was_filled")
 
 
 def p1_filled_income(spark: SparkSession, d: str) -> DataFrame:
-    return filled_income(read_table(spark, d, "income_dataset"))
+    return _shown(filled_income(read_table(spark, d, "income_dataset")), "resp_id", "district_id", "income", "income_was_filled")
 
 
 def panel_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +105,40 @@ readings as (select p.firm_id, p.wave, s.step_len, cast(floor(p.time_id / s.step
 steps as (select *, lag(slot) over w as prev, lag(v) over w as prev_v from readings window w as (partition by firm_id, wave order by slot)),
 gaps as (select *, unnest(range(prev + 1, slot)) as s from steps where slot > prev + 1)
 """
+
+
+def _mixed_effects(y: str, table: str) -> str:
+    """CTEs that predict y from g and t of `table` (columns y, g, t), two sweeps: u2 (g, u, lo, hi), v2 (t, v) and vc (mu)."""
+    effect = "case when sum(c.n) * {s2} + se > 0 then sum(c.s - c.n * {other} - c.n * mu) * {s2} / (sum(c.n) * {s2} + se) else 0 end"
+    u = "select c.g, " + effect.format(s2="su", other="{v}") + " as u, min(c.lo) as lo, max(c.hi) as hi from cells c cross join vc {join} group by c.g, mu, se, su"
+    v = "select c.t, " + effect.format(s2="sv", other="u.u") + " as v from cells c cross join vc join {u} u using (g) group by c.t, mu, se, sv"
+    return f"""
+cells as (select g, t, count(*)::double as n, avg({y}) * count(*) as s, var_pop({y}) * count(*) as ss, min(y) as lo, max(y) as hi from {table} where g is not null group by g, t),
+tot as (select sum(n) as n, sum(s) as s, case when sum(n) > count(*) then sum(ss) / (sum(n) - count(*)) else 0 end as se from cells),
+lg as (select count(*) as k, sum(s * s / n) - pow(sum(s), 2) / sum(n) as b, sum(n * n) as q, sum(nn / n) as x from (select sum(n) as n, sum(s) as s, sum(n * n) as nn from cells group by g)),
+lt as (select count(*) as k, sum(s * s / n) - pow(sum(s), 2) / sum(n) as b, sum(n * n) as q, sum(nn / n) as x from (select sum(n) as n, sum(s) as s, sum(n * n) as nn from cells group by t)),
+eq as (select tot.n, tot.s / tot.n as mu, se, tot.n - lg.q / tot.n as a, lg.x - lt.q / tot.n as b, lt.x - lg.q / tot.n as c, tot.n - lt.q / tot.n as d, lg.b - (lg.k - 1) * se as y, lt.b - (lt.k - 1) * se as z from tot, lg, lt),
+both_ as (select *, case when a * d - b * c > 1e-9 * n * n then (d * y - b * z) / (a * d - b * c) else -1 end as su0, case when a * d - b * c > 1e-9 * n * n then (a * z - c * y) / (a * d - b * c) else -1 end as sv0 from eq),
+vc as (select mu, se, case when least(su0, sv0) >= 0 then su0 when a > 0 then greatest(y / a, 0) else 0 end as su, case when least(su0, sv0) >= 0 then sv0 when d > 0 then greatest(z / d, 0) else 0 end as sv from both_),
+u0 as ({u.format(v="0", join="")}),
+v1 as ({v.format(u="u0")}),
+u1 as ({u.format(v="coalesce(v.v, 0)", join="left join v1 v using (t)")}),
+v2 as ({v.format(u="u1")}),
+u2 as ({u.format(v="coalesce(v.v, 0)", join="left join v2 v using (t)")})"""
+
+
+_PREDICTED = "least(greatest({0}, u2.lo), u2.hi)"
 ORACLE = {
+    "p1_filled_panel": f"""with batches as (select batch_id, min(firm_id) as firm from panel_data where firm_id >= 1000 group by batch_id),
+rows_ as (select p.obs_id, case when p.firm_id >= 1000 then p.firm_id else b.firm end as g, p.wave as t, not coalesce(p.firm_id >= 1000, false) and b.firm is not null as ff,
+  case when p.x1 > 0 and p.x1 < 1000 then p.x1 end as y from panel_data p left join batches b using (batch_id)),
+given as (select * from rows_ where y is not null), {_mixed_effects("y", "given")}
+select obs_id, r.g as firm_id, ff as firm_id_was_filled, case when y is not null then y when u2.u is not null then round({_PREDICTED.format("mu + u2.u + coalesce(v2.v, 0)")}, 3) end as x1, y is null and u2.u is not null as x1_was_filled
+from rows_ r cross join vc left join u2 using (g) left join v2 using (t)""",
+    "p1_filled_income": f"""with rows_ as (select resp_id, district_id as g, date_trunc('month', interview_day) as t, case when income between 1 and 5000000 then income end as y from income_dataset),
+given as (select * from rows_ where y is not null), {_mixed_effects("ln(y)", "given")}
+select resp_id, r.g as district_id, case when y is not null then y when u2.u is not null then round({_PREDICTED.format("exp(mu + u2.u + coalesce(v2.v, 0))")})::bigint end as income, y is null and u2.u is not null as income_was_filled
+from rows_ r cross join vc left join u2 using (g) left join v2 using (t)""",
     "p1_found": """
 with batches as (select batch_id, min(firm_id) as firm from panel_data where firm_id >= 1000 group by batch_id),
 panel as (select p.obs_id, case when p.firm_id >= 1000 then p.firm_id else b.firm end as firm, coalesce(p.firm_id >= 1000, false) as had, coalesce(p.x1 > 0 and p.x1 < 1000, false) as ok

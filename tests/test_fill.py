@@ -30,6 +30,55 @@ def test_category_shrinks_towards_overall_shares(spark):
     assert r[102]["c"] == "x"
 
 
+def test_category_follows_the_time_where_groups_leave_it_open(spark):
+    # Group "g" has seen x and y equally often; at time 2 every other group turns to y, at time 1 to x.
+    data = [(i, f"o{i % 5}", t, 0.0, c) for i, (t, c) in enumerate([(1, "x")] * 40 + [(2, "y")] * 40)]
+    data += [(900, "g", 3, 0.0, "x"), (901, "g", 3, 0.0, "y"), (910, "g", 1, 0.0, None), (911, "g", 2, 0.0, None), (912, "g", 9, 0.0, None), (913, "g", None, 0.0, None), (914, "new", 1, 0.0, None)]
+    r = rows(fill_category(spark.createDataFrame(data, PANEL), "c", "g", time="t"))
+    assert [r[i]["c"] for i in (910, 911, 912, 913, 914)] == ["x", "y", "x", "x", None]
+    assert r[913]["c_was_filled"] and not r[914]["c_was_filled"] and len(r) == len(data)
+
+
+def test_multinomial_multipliers_match_a_dense_fit(spark):
+    from gramforge.operators.fill import _Multinomial
+
+    rng = np.random.default_rng(4)
+    n = rng.poisson(2.0, (6, 3, 4)) * rng.integers(0, 2, (6, 3, 4))  # group, time, class
+    cells = spark.createDataFrame([(g, t, c, float(n[g, t, c])) for g in range(6) for t in range(3) for c in range(4) if n[g, t, c]], "g int, t int, c int, n double")
+    m = _Multinomial(cells, True, 2.0, 1)
+    share, ng, nt, m_gt, s = n.sum((0, 1)) / n.sum(), n.sum((1, 2)), n.sum((0, 2)), n.sum(2), 2.0
+    n_gc, n_tc = n.sum(1), n.sum(0)
+    th = np.where(n_gc > 0, (n_gc + s * share) / (share * (ng[:, None] + s)), (s / (ng + s))[:, None])
+    ps = np.where(n_tc > 0, (n_tc + s * share) / (share * (m_gt.T @ th + s)), (s / (nt + s))[:, None])
+    th = (n_gc + s * share) / (share * (m_gt @ ps + s))
+    assert {(r["t"], r["c"]): r["ps"] for r in m.ps.collect()} == pytest.approx({(t, c): ps[t, c] for t in range(3) for c in range(4) if n_tc[t, c]})
+    assert {(r["g"], r["c"]): r["th"] for r in m.th.collect()} == pytest.approx({(g, c): th[g, c] for g in range(6) for c in range(4) if n_gc[g, c]})
+
+
+def test_variance_components_are_solved_together(spark):
+    """Against Monte Carlo expectations: the sums of squares of simulated tables of the same layout average to the equations' values."""
+    rng = np.random.default_rng(11)
+    n = rng.integers(0, 5, (15, 6)).astype(float)
+    n[0] *= 9
+    ng, nt, total = n.sum(1), n.sum(0), n.sum()
+
+    def between(y):
+        return (y.sum(1) ** 2 / ng).sum() - y.sum() ** 2 / total, (y.sum(0) ** 2 / nt).sum() - y.sum() ** 2 / total
+
+    got = np.mean([between(n * (rng.normal(0, 2, 15)[:, None] + rng.normal(0, 3, 6)) + np.sqrt(n) * rng.normal(0, 1, n.shape)) for _ in range(20000)], axis=0)
+    # Cells whose sums of squares are these expectations must give back the variances 4, 9 and 1.
+    qg, qt, xg, xt = (ng**2).sum(), (nt**2).sum(), (n**2 / ng[:, None]).sum(), (n**2 / nt).sum()
+    want = (14 + 4 * (total - qg / total) + 9 * (xg - qt / total), 5 + 4 * (xt - qg / total) + 9 * (total - qt / total))
+    assert got == pytest.approx(want, rel=0.03)
+    u, v = rng.normal(0, 2, 15), rng.normal(0, 3, 6)
+    s = n * (u[:, None] + v)
+    cells = spark.createDataFrame([(g, t, float(n[g, t]), float(s[g, t]), float(n[g, t] - 1)) for g in range(15) for t in range(6) if n[g, t]], "g int, t int, n double, s double, ss double")
+    vc = variance_components(cells)
+    b, se = between(s), (n[n > 0] - 1).sum() / (total - (n > 0).sum())
+    a = np.array([[total - qg / total, xg - qt / total], [xt - qg / total, total - qt / total]])
+    assert (vc.su, vc.sv) == pytest.approx(np.linalg.solve(a, [b[0] - 14 * se, b[1] - 5 * se])) and vc.se == pytest.approx(se)
+
+
 def test_numeric_matches_reference_predictor(spark):
     rng = np.random.default_rng(3)
     ug, vt = rng.normal(0, 3, 12), rng.normal(0, 1, 6)

@@ -88,7 +88,7 @@ class _Multinomial:
         return x.groupBy(*keys).agg(F.min(F.struct(F.round(-score, 9).alias("a"), F.col("c").alias("b")))["b"].alias("best"))
 
 
-def fill_category(df: DataFrame, column: str, group: str, *, time: str | None = None, valid: Column | None = None, strength: float | None = None, sweeps: int = 2, mask: str | None = None) -> DataFrame:
+def fill_category(df: DataFrame, column: str, group: str, *, time: str | None = None, valid: Column | None = None, strength: float | None = None, sweeps: int = 1, mask: str | None = None) -> DataFrame:
     """Fill `column` with the most probable class of the row's `group` (and `time`) under the multinomial model.
 
     Candidates are the classes seen in the group; of equally probable ones the smallest is taken. `valid` says which values are

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gramforge.operators.fill import fill_category, fill_numeric
 from gramforge.operators.grid import regular_grid
-from gramforge.sources.records import FieldSpec, parse_lines
+from gramforge.sources.records import FieldSpec, parse_chunks, parse_lines
 from gramforge.util import read_table
 
 #: What the test data state about valid entries.
@@ -83,7 +83,16 @@ def p4_valid(spark: SparkSession, d: str) -> DataFrame:
     return parsed_wages(spark, d).where("reason is null").select("raw_id", "wage", "education", "experience", "female")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_filled_panel, p1_filled_income, p2_found, p2_grid, p4_found, p4_valid)}
+def p4_recovered(spark: SparkSession, d: str) -> DataFrame:
+    """The same lines as text of their files, in chunks of 200 lines without any record borders: valid records found by recovery, counted."""
+    lines = read_table(spark, d, "wage_raw").select("file_name", F.floor((F.col("line_no") - 2) / 200).alias("chunk_no"), "line_no", F.coalesce("raw_line", F.lit("")).alias("raw_line"))
+    chunks = lines.groupBy("file_name", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "raw_line"))).alias("a"))
+    chunks = chunks.select("file_name", "chunk_no", F.concat(F.array_join(F.col("a.raw_line"), "\n"), F.lit("\n")).alias("text"))
+    found = parse_chunks(chunks, WAGE_RECORD, file="file_name", chunk="chunk_no", text="text").where("reason is null")
+    return found.groupBy("file_name", "wage", "education", "experience", "female").agg(F.count(F.lit(1)).alias("n_records"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_filled_panel, p1_filled_income, p2_found, p2_grid, p4_found, p4_valid, p4_recovered)}
 
 _FIELD = r'(?:[^",]*|"(?:[^"]|"")*")'
 _P4 = rf"""
@@ -157,4 +166,7 @@ union all select firm_id, wave, s, s * step_len, round(prev_v + (v - prev_v) * (
     "p4_found": f"with {_P4} select raw_id, reason from judged where reason is not null",
     "p4_valid": f"""with {_P4} select raw_id, case when not na[1] then d[1] end as wage, case when not na[2] then cast(d[2] as bigint) end as education,
   case when not na[3] then cast(d[3] as bigint) end as experience, case when not na[4] then cast(d[4] as bigint) end as female from judged where reason is null""",
+    "p4_recovered": f"""with {_P4}, valid as (select raw_id, case when not na[1] then d[1] end as wage, case when not na[2] then cast(d[2] as bigint) end as education,
+  case when not na[3] then cast(d[3] as bigint) end as experience, case when not na[4] then cast(d[4] as bigint) end as female from judged where reason is null)
+select file_name, wage, education, experience, female, count(*) as n_records from valid join wage_raw using (raw_id) group by all""",
 }

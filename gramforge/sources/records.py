@@ -140,10 +140,10 @@ class Parser:
         except RecordError as e:
             return None, e.reason, e.at, e.field
 
-    def text(self, text: str, *, at: int = 0, partial: bool = False) -> Iterator[tuple[int, int, list | None, RecordError | None]]:
+    def text(self, text: str, *, at: int = 0, partial: bool = False, convert: bool = True) -> Iterator[tuple[int, int, list | None, RecordError | None]]:
         """(start, end, values, error) of every record from `at` on, resuming at anchors after broken quotes.
 
-        partial: the text may go on; a last record that fails and has no anchor behind it is not given.
+        partial: the text may go on; a last record that fails and has no anchor behind it is not given. convert: without it only borders are sought.
         """
         n = len(text)
         while at < n:
@@ -152,7 +152,7 @@ class Parser:
                 fields, stop, starts = self.record(text, at, n, True)
                 if text.find("\n", at, stop) >= 0 and (a := self.anchor(text, at, stop)) is not None:
                     stop, error = a - 1, RecordError("quoting", at, 0)
-                else:
+                elif convert:
                     try:
                         values = self.typed(fields, starts, stop)
                     except RecordError as e:
@@ -322,7 +322,7 @@ def parse_chunks(df: DataFrame, specs: Sequence[FieldSpec], *, file: str, chunk:
                     out.append((False, t, "", 0))
                     continue
                 done = at
-                for _, stop, _, _ in parser.text(t, at=at, partial=True):
+                for _, stop, _, _ in parser.text(t, at=at, partial=True, convert=False):
                     done = stop + (2 if t.startswith("\r\n", stop) else 1)
                 out.append((True, t[:at], t[done:], done))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
@@ -334,8 +334,8 @@ def parse_chunks(df: DataFrame, specs: Sequence[FieldSpec], *, file: str, chunk:
     w = Window.partitionBy("f").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     owner = edge.select("f", "c", F.last(F.when(F.col("anchored"), F.col("c")), True).over(w).alias("own"))
     heads = join_on(edge.where("head <> ''").select("f", "c", "head"), owner, ["f", "c"], "inner").select("f", F.col("own").alias("o"), "c", F.col("head").alias("x"), F.lit(0).cast("long").alias("done"))
-    tails = edge.where("tail <> ''").select("f", F.col("c").alias("o"), "c", F.col("tail").alias("x"), "done")
+    tails = edge.where("anchored").select("f", F.col("c").alias("o"), "c", F.col("tail").alias("x"), "done")
     parts = tails.unionByName(heads).groupBy("f", "o").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("p"), F.max("done").alias("done"))
-    seam = parts.select("f", F.col("o").alias("c"), F.array_join(F.col("p.x"), "").alias("t"), "done")
+    seam = parts.select("f", F.col("o").alias("c"), F.array_join(F.col("p.x"), "").alias("t"), "done").where("t <> ''")
     out = src.mapInArrow(records, kind).unionByName(seam.mapInArrow(seams, kind))
     return out.select(F.col("f").alias(file), F.col("c").alias(chunk), "start_at", *[F.col(f"v{i}").alias(x.name) for i, x in enumerate(specs)], "reason", "error_at", "error_field", "raw_record")

@@ -19,6 +19,7 @@ from gramforge.errors import InvalidOperation, ShapeMismatch, VariableNotFound
 from gramforge.formula import Formula
 from gramforge.operators.ordered import Ordered
 from gramforge.plans.moments import gram
+from gramforge.plans.select import quantiles, select_ranks
 from gramforge.util import col, free_name, is_missing, require
 
 _NUMERIC = ("double", "float", "tinyint", "smallint", "int", "bigint", "boolean")
@@ -180,7 +181,9 @@ class Frame:
         return self._fill_by(F.avg)
 
     def fillna_median(self) -> Frame:
-        return self._fill_by(F.median)
+        names = self._floats()
+        mid = {c: quantiles(self.df, col(c), [0.5])[0] for c in names}
+        return self._with(self.df.na.fill({c: v for c, v in mid.items() if not math.isnan(v)})) if names else self
 
     def isna(self) -> Frame:
         return Frame(self.df.select(*[m.alias(c) for c, m in self._missing().items()]))
@@ -278,20 +281,20 @@ class Frame:
         return self._each(F.var_samp)
 
     def median(self) -> dict[str, float]:
-        return self._each(F.median)
+        return {c: quantiles(self.df, self.get(c), [0.5])[0] for c, t in self.df.dtypes if t in _NUMERIC}
 
     def quantile(self, name: str, q: float) -> float:
         if not 0 <= q <= 1:
             raise InvalidOperation("q must be in [0, 1]")
-        x = self.get(name)
-        return self.df.agg(F.percentile(F.when(~F.isnan(x), x), F.lit(q))).first()[0]
+        return quantiles(self.df, self.get(name), [q])[0]
 
     def describe(self) -> DataFrame:
-        """One row per numeric column: count, mean, std, min, median, max; one job."""
+        """One row per numeric column: count, mean, std, min, median, max; one job and the selection of the medians."""
         names = [c for c, t in self.df.dtypes if t in _NUMERIC]
         long = self.df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), self.get(c).alias("v")) for c in names])).alias("x")).select("x.*")
         ok = F.when(~F.isnan("v"), F.col("v"))
-        return long.groupBy("column_name").agg(F.count(F.lit(1)).alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min(ok).alias("min"), F.median("v").alias("median"), F.max(ok).alias("max"))
+        mid = self.df.sparkSession.createDataFrame(list(self.median().items()), "column_name string, median double")
+        return long.groupBy("column_name").agg(F.count(F.lit(1)).alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min(ok).alias("min"), F.max(ok).alias("max")).join(mid, "column_name").select("column_name", "count", "mean", "std", "min", "median", "max")
 
     def _second(self, names: Sequence[str] | None) -> tuple[list[str], np.ndarray, int]:
         names = list(names or [c for c, t in self.df.dtypes if t in _NUMERIC])
@@ -423,7 +426,7 @@ class Frame:
         """`n` rows without replacement: the rows with the least seeded hashes of their whole content, top-k per task."""
         if n > self.n_rows():
             raise InvalidOperation("more rows wanted than there are")
-        return self._with(self.df.orderBy(F.rand(seed)).limit(n))
+        return self._with(self.df.orderBy(F.xxhash64(*[col(c) for c in self.df.columns], F.lit(seed)), *[col(c) for c in self.order_by]).limit(n))
 
     # formulas
     def formula_var_names(self, formula: Formula | str) -> list[str]:
@@ -468,11 +471,8 @@ class FrameBuilder:
 
 
 def order_statistics(df: DataFrame, name: str, positions: Sequence[int]) -> list[float]:
-    """Exact sorted values at positions from 0: counts per value, range-partitioned sorted, and a scan of partition totals."""
-    counts = df.groupBy(col(name).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    o = Ordered(counts, ["v"])
-    run = o.cumsum("c").where(" or ".join(f"(c_cumsum > {p} and c_cumsum - c <= {p})" for p in positions)).select("v", "c", "c_cumsum").collect()
-    return [next(float(r["v"]) for r in run if r["c_cumsum"] - r["c"] <= p < r["c_cumsum"]) for p in positions]
+    """Exact sorted values at positions from 0."""
+    return select_ranks(df, col(name), positions)
 
 
 __all__ = ["Frame", "FrameBuilder", "order_statistics"]

@@ -16,32 +16,58 @@ from gramforge.errors import InvalidOperation, OptimizationFailed
 from gramforge.formula import MAX_LEVELS, Formula, bspline_columns
 from gramforge.models.linear import Cov, fit_columns, sandwich
 from gramforge.models.results import Fit
-from gramforge.plans.mle import Kernel, maximise, numeric_scores, project
+from gramforge.plans.mle import Kernel, batch_sums, maximise, numeric_scores, project
 from gramforge.plans.moments import gram, inverse_spd, linear, outer_sum, solve_spd
 from gramforge.util import checkpoint, col
 
 
+class _SparkMath:
+    """The functions links and families need, over columns; `_NumpyMath` has the same over arrays."""
+
+    exp, log, sqrt, pow = F.exp, F.ln, F.sqrt, F.pow
+
+    @staticmethod
+    def clip(x, lo, hi):
+        return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+
+    @staticmethod
+    def where(test, a, b):
+        return F.when(test, a).otherwise(b)
+
+    @staticmethod
+    def one(x):
+        return F.lit(1.0)
+
+
+class _NumpyMath:
+    exp, log, sqrt, pow, clip, where = np.exp, np.log, np.sqrt, np.power, np.clip, np.where
+
+    @staticmethod
+    def one(x):
+        return np.ones_like(x)
+
+
 @dataclass(frozen=True)
 class Link:
-    """mu as a function of eta, its derivative, and eta as a function of mu."""
+    """mu as a function of eta, its derivative, and eta as a function of mu; the last argument chooses columns or arrays."""
 
-    inverse: Callable[[Column], Column]
-    slope: Callable[[Column], Column]
-    forward: Callable[[Column], Column]
+    inverse: Callable
+    slope: Callable
+    forward: Callable
 
 
-def _expit(e: Column) -> Column:
-    return 1 / (1 + F.exp(-F.least(F.greatest(e, F.lit(-700.0)), F.lit(700.0))))
+def _expit(e, m=_SparkMath):
+    return 1 / (1 + m.exp(-m.clip(e, -700.0, 700.0)))
 
 
 LINKS = {
-    "identity": Link(lambda e: e, lambda e: F.lit(1.0), lambda m: m),
-    "log": Link(lambda e: F.exp(e), lambda e: F.exp(e), lambda m: F.ln(m)),
-    "logit": Link(_expit, lambda e: _expit(e) * (1 - _expit(e)), lambda m: F.ln(m / (1 - m))),
-    "cloglog": Link(lambda e: 1 - F.exp(-F.exp(e)), lambda e: F.exp(e - F.exp(e)), lambda m: F.ln(-F.ln(1 - m))),
-    "inverse": Link(lambda e: 1 / e, lambda e: -1 / (e * e), lambda m: 1 / m),
-    "inverse_squared": Link(lambda e: 1 / F.sqrt(e), lambda e: -0.5 * F.pow(e, -1.5), lambda m: 1 / (m * m)),
-    "sqrt": Link(lambda e: e * e, lambda e: 2 * e, lambda m: F.sqrt(m)),
+    "identity": Link(lambda e, m=_SparkMath: e, lambda e, m=_SparkMath: m.one(e), lambda u, m=_SparkMath: u),
+    "log": Link(lambda e, m=_SparkMath: m.exp(e), lambda e, m=_SparkMath: m.exp(e), lambda u, m=_SparkMath: m.log(u)),
+    "logit": Link(_expit, lambda e, m=_SparkMath: _expit(e, m) * (1 - _expit(e, m)), lambda u, m=_SparkMath: m.log(u / (1 - u))),
+    "cloglog": Link(lambda e, m=_SparkMath: 1 - m.exp(-m.exp(e)), lambda e, m=_SparkMath: m.exp(e - m.exp(e)), lambda u, m=_SparkMath: m.log(-m.log(1 - u))),
+    "inverse": Link(lambda e, m=_SparkMath: 1 / e, lambda e, m=_SparkMath: -1 / (e * e), lambda u, m=_SparkMath: 1 / u),
+    "inverse_squared": Link(lambda e, m=_SparkMath: 1 / m.sqrt(e), lambda e, m=_SparkMath: -0.5 * m.pow(e, -1.5), lambda u, m=_SparkMath: 1 / (u * u)),
+    "sqrt": Link(lambda e, m=_SparkMath: e * e, lambda e, m=_SparkMath: 2 * e, lambda u, m=_SparkMath: m.sqrt(u)),
 }
 
 
@@ -49,64 +75,72 @@ LINKS = {
 class Family:
     """Variance function, unit deviance, starting mean, default link, whether the dispersion is 1."""
 
-    variance: Callable[[Column], Column]
-    deviance: Callable[[Column, Column], Column]
-    start: Callable[[Column, float], Column]
+    variance: Callable
+    deviance: Callable
+    start: Callable
     link: str
     fixed: bool
 
 
-def _ylogy(y: Column, m: Column) -> Column:
-    return F.when(y > 0, y * F.ln(y / m)).otherwise(0.0)
+def _ylogy(y, mu, m):
+    """y ln(y / mu), 0 for y = 0."""
+    return m.where(y > 0, y * m.log(m.where(y > 0, y, m.one(y)) / mu), 0.0 * y)
 
 
 def family(name: str, alpha: float = 1.0, power: float = 1.5) -> Family:
-    mid = lambda y, mean: (y + mean) / 2
+    mid = lambda y, mean, m=_SparkMath: (y + mean) / 2
     table = {
-        "gaussian": Family(lambda m: F.lit(1.0), lambda y, m: (y - m) * (y - m), mid, "identity", False),
-        "binomial": Family(lambda m: m * (1 - m), lambda y, m: 2 * (_ylogy(y, m) + _ylogy(1 - y, 1 - m)), lambda y, mean: (y + 0.5) / 2, "logit", True),
-        "poisson": Family(lambda m: m, lambda y, m: 2 * (_ylogy(y, m) - (y - m)), mid, "log", True),
-        "gamma": Family(lambda m: m * m, lambda y, m: 2 * ((y - m) / m - F.ln(y / m)), mid, "inverse", False),
-        "inverse_gaussian": Family(lambda m: m * m * m, lambda y, m: (y - m) * (y - m) / (m * m * y), mid, "inverse_squared", False),
-        "negative_binomial": Family(lambda m: m + alpha * m * m, lambda y, m: 2 * (_ylogy(y, m) - (y + 1 / alpha) * F.ln((1 + alpha * y) / (1 + alpha * m))), mid, "log", True),
-        "tweedie": Family(lambda m: F.pow(m, power), lambda y, m: 2 * (F.pow(F.greatest(y, F.lit(0.0)), 2 - power) / ((1 - power) * (2 - power)) - y * F.pow(m, 1 - power) / (1 - power) + F.pow(m, 2 - power) / (2 - power)), mid, "log", False),
+        "gaussian": Family(lambda u, m=_SparkMath: m.one(u), lambda y, u, m=_SparkMath: (y - u) * (y - u), mid, "identity", False),
+        "binomial": Family(lambda u, m=_SparkMath: u * (1 - u), lambda y, u, m=_SparkMath: 2 * (_ylogy(y, u, m) + _ylogy(1 - y, 1 - u, m)), lambda y, mean, m=_SparkMath: (y + 0.5) / 2, "logit", True),
+        "poisson": Family(lambda u, m=_SparkMath: u, lambda y, u, m=_SparkMath: 2 * (_ylogy(y, u, m) - (y - u)), mid, "log", True),
+        "gamma": Family(lambda u, m=_SparkMath: u * u, lambda y, u, m=_SparkMath: 2 * ((y - u) / u - m.log(y / u)), mid, "inverse", False),
+        "inverse_gaussian": Family(lambda u, m=_SparkMath: u * u * u, lambda y, u, m=_SparkMath: (y - u) * (y - u) / (u * u * y), mid, "inverse_squared", False),
+        "negative_binomial": Family(lambda u, m=_SparkMath: u + alpha * u * u, lambda y, u, m=_SparkMath: 2 * (_ylogy(y, u, m) - (y + 1 / alpha) * m.log((1 + alpha * y) / (1 + alpha * u))), mid, "log", True),
+        "tweedie": Family(lambda u, m=_SparkMath: m.pow(u, power), lambda y, u, m=_SparkMath: 2 * (m.pow(m.clip(y, 0.0, math.inf), 2 - power) / ((1 - power) * (2 - power)) - y * m.pow(u, 1 - power) / (1 - power) + m.pow(u, 2 - power) / (2 - power)), mid, "log", False),
     }
     if name not in table:
         raise InvalidOperation(f"unknown family {name!r}")
     return table[name]
 
 
-def _ln_factorial(y: Column) -> Column:
-    """Exact up to 20, then Stirling's series."""
-    series = (y + 0.5) * F.ln(F.greatest(y, F.lit(1.0))) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * F.greatest(y, F.lit(1.0))) - 1 / (360 * F.pow(F.greatest(y, F.lit(1.0)), 3))
-    return F.when(y <= 20, F.ln(F.factorial(F.least(y, F.lit(20.0)).cast("int")).cast("double"))).otherwise(series)
+def glm(df: DataFrame, formula: str, fam: str = "gaussian", link: str | None = None, *, alpha: float = 1.0, power: float = 1.5, cov: Cov = Cov(), offset: Column | None = None, exposure: Column | None = None, tol: float = 1e-8, max_iter: int = 100) -> Fit:  # noqa: B008
+    """IRLS: every iteration is one pass of a numpy kernel over Arrow batches, so no stage is compiled anew for new coefficients.
 
-
-def glm(df: DataFrame, formula: str, fam: str = "gaussian", link: str | None = None, *, alpha: float = 1.0, power: float = 1.5, cov: Cov = Cov(), offset: Column | None = None, tol: float = 1e-8, max_iter: int = 100) -> Fit:  # noqa: B008
-    """IRLS: every iteration is one aggregate over the projected columns with the coefficients as literals."""
-    f = family(fam, alpha, power)
-    lk = LINKS[link or f.link]
+    exposure: a positive column whose logarithm is added to the offset (with the log link).
+    """
+    f, m = family(fam, alpha, power), _NumpyMath
+    name = link or f.link
+    lk = LINKS[name]
+    if exposure is not None:
+        if name != "log":
+            raise InvalidOperation("exposure needs the log link")
+        offset = F.ln(exposure) + (F.lit(0.0) if offset is None else offset)
     y, x = Formula.parse(formula).design(df)
     k = len(x)
     z = project(df, [*x.values(), y, F.lit(0.0) if offset is None else offset])
-    xe, ye, off = [F.col(f"z{i}") for i in range(k)], F.col(f"z{k}"), F.col(f"z{k + 1}")
-    head = z.agg(F.count(F.lit(1)).alias("n"), F.avg(ye).alias("m")).first()
-    n = head["n"]
+    head = z.agg(F.count(F.lit(1)).alias("n"), F.avg(f"z{k}").alias("m")).first()
+    n, mean = head["n"], float(head["m"])
+
+    def pieces(b: np.ndarray, beta: np.ndarray | None):
+        xs, ys, off = b[:, :k], b[:, k], b[:, k + 1]
+        eta = lk.forward(f.start(ys, mean, m), m) if beta is None else xs @ beta + off
+        mu = lk.inverse(eta, m)
+        d = lk.slope(eta, m) + 0.0 * eta
+        return xs, ys, off, eta, mu, d, d * d / f.variance(mu, m)
+
+    def normal(b: np.ndarray, beta: np.ndarray | None) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            xs, ys, off, eta, mu, d, w = pieces(b, beta)
+            xw = xs * w[:, None]
+            return np.concatenate([(xw.T @ xs).ravel(), xw.T @ (eta - off + (ys - mu) / d)])
+
     beta: np.ndarray | None = None
     for it in range(max_iter):
-        if beta is None:
-            mu = f.start(ye, float(head["m"]))
-            eta = lk.forward(mu)
-        else:
-            eta = linear(beta, xe) + off
-            mu = lk.inverse(eta)
-        d = lk.slope(eta)
-        w = d * d / f.variance(mu)
-        work = eta - off + (ye - mu) / d
-        s = outer_sum(z, [*xe, work], w)
+        at = beta
+        s = batch_sums(z, k * k + k, lambda b: normal(b, at))  # noqa: B023
         if not np.isfinite(s).all():
             raise OptimizationFailed("the working response is not finite")
-        new = solve_spd(s[:k, :k], s[:k, k])
+        new = solve_spd(s[: k * k].reshape(k, k), s[k * k :])
         # Newton's steps square the error, so a step this small leaves none that matters.
         done = beta is not None and np.max(np.abs(new - beta)) <= tol * (1 + np.max(np.abs(new)))
         beta = new
@@ -114,21 +148,33 @@ def glm(df: DataFrame, formula: str, fam: str = "gaussian", link: str | None = N
             break
     else:
         raise OptimizationFailed(f"no convergence in {max_iter} iterations")
-    dev = float(z.agg(F.sum(f.deviance(ye, lk.inverse(linear(beta, xe) + off)))).first()[0])
-    eta = linear(beta, xe) + off
-    mu, d = lk.inverse(eta), lk.slope(eta)
-    w = d * d / f.variance(mu)
-    pearson = float(z.agg(F.sum((ye - mu) * (ye - mu) / f.variance(mu))).first()[0])
+
+    def final(b: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            xs, ys, _, _, mu, _, w = pieces(b, beta)
+            ll = 0.0
+            if fam == "binomial":
+                ll = (np.where(ys > 0, ys * np.log(mu), 0.0) + np.where(ys < 1, (1 - ys) * np.log(1 - mu), 0.0)).sum()
+            elif fam == "poisson":
+                ll = (np.where(ys > 0, ys * np.log(mu), 0.0) - mu - dist.lgamma(ys + 1)).sum()
+            sums = [f.deviance(ys, mu, m).sum(), f.deviance(ys, np.full_like(ys, mean), m).sum(), ((ys - mu) ** 2 / f.variance(mu, m)).sum(), ll]
+            return np.concatenate([sums, ((xs * w[:, None]).T @ xs).ravel()])
+
+    s = batch_sums(z, 4 + k * k, final)
+    dev, null_dev, pearson, ll = (float(v) for v in s[:4])
     phi = 1.0 if f.fixed else pearson / (n - k)
-    bread = inverse_spd(outer_sum(z, xe, w))
-    v = phi * bread if cov.kind == "nonrobust" else sandwich(z, xe, (ye - mu) / d, bread, n, cov, w)
-    null_mu = F.lit(float(head["m"]))
-    null_dev = float(z.agg(F.sum(f.deviance(ye, null_mu))).first()[0])
+    bread = inverse_spd(s[4:].reshape(k, k))
+    xe, ye = [F.col(f"z{i}") for i in range(k)], F.col(f"z{k}")
+    if cov.kind == "nonrobust":
+        v = phi * bread
+    else:
+        eta = linear(beta, xe) + F.col(f"z{k + 1}")
+        mu, d = lk.inverse(eta), lk.slope(eta)
+        v = sandwich(z, xe, (ye - mu) / d, bread, n, cov, d * d / f.variance(mu))
     stats = {"n": n, "df_resid": n - k, "deviance": dev, "null_deviance": null_dev, "pearson_chi2": pearson, "dispersion": phi, "iterations": it + 1}
-    if fam == "binomial" or fam == "poisson":
-        ll = float(z.agg(F.sum(F.when(ye > 0, ye * F.ln(mu)).otherwise(0.0) + (F.when(ye < 1, (1 - ye) * F.ln(1 - mu)).otherwise(0.0) if fam == "binomial" else -mu - _ln_factorial(ye)))).first()[0])
-        stats |= {"log_likelihood": ll, "aic": 2 * k - 2 * ll, "pseudo_r2": 1 - dev / null_dev if null_dev else math.nan}
-    return Fit(list(x), beta, v, math.inf if f.fixed else n - k, stats, list(x.values()), lk.inverse)
+    if fam in ("binomial", "poisson"):
+        stats |= {"log_likelihood": ll, "aic": 2 * k - 2 * ll, "bic": k * math.log(n) - 2 * ll, "pseudo_r2": 1 - dev / null_dev if null_dev else math.nan}
+    return Fit(list(x), beta, v, math.inf if f.fixed else n - k, stats, list(x.values()), lk.inverse, name)
 
 
 def logit(df: DataFrame, formula: str, **kwargs) -> Fit:
@@ -139,17 +185,82 @@ def poisson(df: DataFrame, formula: str, **kwargs) -> Fit:
     return glm(df, formula, "poisson", "log", **kwargs)
 
 
-def marginal_effects(df: DataFrame, fit: Fit, *, at_means: bool = False) -> dict[str, float]:
-    """Average marginal effects of a logit fit (or at the means), one aggregate."""
-    if at_means:
-        m = df.agg(*[F.avg(e) for e in fit.exprs]).first()
-        eta = float(np.dot(fit.params, m))
-        p = 1 / (1 + math.exp(-eta))
-        scale = p * (1 - p)
+_PDF = {"probit": lambda e: F.exp(-e * e / 2) / math.sqrt(2 * math.pi)}
+
+
+def _slope(fit: Fit) -> Callable[[Column], Column]:
+    if fit.link in _PDF:
+        return _PDF[fit.link]
+    if fit.link in LINKS:
+        return LINKS[fit.link].slope
+    raise InvalidOperation("marginal effects need a fit with a known link")
+
+
+def margins(df: DataFrame, fit: Fit, *, at: str | dict[str, float] = "rows") -> Fit:
+    """Marginal effects d mu / d x with delta-method standard errors, for the fit's own link (others are an error); one aggregate.
+
+    at: "rows" averages over the rows of `df`, "means" takes the terms' means, a dictionary gives values of terms (the others at their means).
+    """
+    g, h = _slope(fit), 1e-4
+    if at == "rows":
+        src, xs = df, fit.exprs
     else:
-        p = fit.predictor()
-        scale = float(df.agg(F.avg(p * (1 - p))).first()[0])
-    return {n: float(b * scale) for n, b in zip(fit.names, fit.params, strict=True) if n != "const"}
+        m = df.agg(*[F.avg(e).alias(f"m{i}") for i, e in enumerate(fit.exprs)]).first()
+        given = {} if at == "means" else at
+        if bad := [c for c in given if c not in fit.names]:
+            raise InvalidOperation(f"no such terms: {bad}")
+        src, xs = df.sparkSession.range(1), [F.lit(float(given.get(c, v))) for c, v in zip(fit.names, m, strict=True)]
+    eta = linear(fit.params, xs)
+    curve = (g(eta + h) - g(eta - h)) / (2 * h)
+    r = src.agg(F.avg(g(eta)).alias("s"), *[F.avg(curve * e).alias(f"c{i}") for i, e in enumerate(xs)]).first()
+    keep = [i for i, c in enumerate(fit.names) if c != "const"]
+    jac = np.array([[r["s"] * (i == j) + fit.params[i] * r[f"c{j}"] for j in range(len(xs))] for i in keep])
+    k = len(xs)
+    return Fit([fit.names[i] for i in keep], fit.params[keep] * r["s"], jac @ fit.cov[:k, :k] @ jac.T, math.inf, {"n": fit.stats.get("n", math.nan)})
+
+
+def marginal_effects(df: DataFrame, fit: Fit, *, at_means: bool = False) -> dict[str, float]:
+    """Average marginal effects (or at the means) of a fit with a link."""
+    m = margins(df, fit, at="means" if at_means else "rows")
+    return dict(zip(m.names, map(float, m.params), strict=True))
+
+
+def residuals(df: DataFrame, fit: Fit, response: Column, fam: str, kind: str = "response", out: str = "residual", *, alpha: float = 1.0) -> DataFrame:
+    """Rows of `df` with response, pearson, working or deviance residuals of a fit with a link."""
+    f, lk = family(fam, alpha), LINKS[fit.link]
+    y, eta = response.cast("double"), linear(fit.params[: len(fit.exprs)], fit.exprs)
+    mu = lk.inverse(eta)
+    made = {
+        "response": lambda: y - mu,
+        "pearson": lambda: (y - mu) / F.sqrt(f.variance(mu)),
+        "working": lambda: (y - mu) / lk.slope(eta),
+        "deviance": lambda: F.signum(y - mu) * F.sqrt(F.greatest(f.deviance(y, mu), F.lit(0.0))),
+    }
+    if kind not in made:
+        raise InvalidOperation(f"unknown residuals {kind!r}")
+    return df.withColumn(out, made[kind]())
+
+
+def overdispersion_test(df: DataFrame, fit: Fit, response: Column) -> dict[str, float]:
+    """Regression test of a Poisson fit: the mean of ((y - mu)^2 - y) / mu is 0 without overdispersion; t of ((y-mu)^2 - y)/mu on mu, without constant."""
+    mu, y = fit.predictor(), response.cast("double")
+    v = (F.pow(y - mu, 2) - y) / mu
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(mu * mu).alias("xx"), F.sum(mu * v).alias("xy"), F.sum(v * v).alias("yy")).first()
+    a = r["xy"] / r["xx"]
+    se = math.sqrt((r["yy"] - a * r["xy"]) / (r["n"] - 1) / r["xx"])
+    return {"alpha": a, "t": a / se, "p": dist.t_two_sided(a / se, r["n"] - 1)}
+
+
+def goodness_of_fit(fit: Fit) -> dict[str, float]:
+    """Deviance and Pearson statistics with their chi-square p-values."""
+    d, p, df_ = fit.stats["deviance"], fit.stats["pearson_chi2"], fit.stats["df_resid"]
+    return {"deviance": d, "deviance_p": dist.chi2_sf(d, df_), "pearson": p, "pearson_p": dist.chi2_sf(p, df_)}
+
+
+def lr_test_vs_poisson(negbin: Fit, poisson_fit: Fit) -> tuple[float, float]:
+    """Likelihood ratio of a negative binomial against a Poisson fit; alpha = 0 lies on the border, so the p-value is halved."""
+    lr = max(0.0, 2 * (negbin.stats["log_likelihood"] - poisson_fit.stats["log_likelihood"]))
+    return lr, 0.5 * dist.chi2_sf(lr, 1) if lr > 0 else 1.0
 
 
 def _mle_fit(df: DataFrame, formula: str, extra: Sequence[str], start: Callable[[np.ndarray, np.ndarray], Sequence[float]], loglik: Callable[[int], Callable[[np.ndarray, np.ndarray], np.ndarray]], more: Sequence[Column] = (), kernel: Callable[[int], Kernel] | None = None) -> Fit:
@@ -179,7 +290,9 @@ def probit(df: DataFrame, formula: str) -> Fit:
 
         return f
 
-    return _mle_fit(df, formula, [], lambda ls, _: np.zeros(len(ls)), lambda k: None, kernel=kernel)
+    fit = _mle_fit(df, formula, [], lambda ls, _: np.zeros(len(ls)), lambda k: None, kernel=kernel)
+    fit.link = "probit"
+    return fit
 
 
 def negative_binomial(df: DataFrame, formula: str, p: float = 2.0) -> Fit:
@@ -436,6 +549,8 @@ def gee(df: DataFrame, formula: str, group: str, fam: str = "gaussian", corr: st
         beta = beta + step
         if np.max(np.abs(step)) <= tol * (1 + np.max(np.abs(beta))):
             break
+    else:
+        raise OptimizationFailed(f"no convergence in {max_iter} iterations")
     inv = np.linalg.inv(h)
     return Fit(list(x), beta, inv @ m @ inv, math.inf, {"n": n, "groups": o["g"], "alpha": alpha, "phi": phi}, list(x.values()), lk.inverse)
 

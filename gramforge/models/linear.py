@@ -17,7 +17,9 @@ from gramforge.errors import InvalidOperation, OptimizationFailed, ShapeMismatch
 from gramforge.formula import Formula
 from gramforge.models.results import Fit
 from gramforge.operators.ordered import Ordered
+from gramforge.plans.mle import batch_sums
 from gramforge.plans.moments import gram, independent_columns, inverse_spd, linear, materialise, outer_sum, quadratic, solve_spd
+from gramforge.plans.select import quantiles
 from gramforge.util import checkpoint, col
 
 LEVERAGE_TOP = 0.9999
@@ -217,22 +219,16 @@ def gmm(df: DataFrame, y: Column, x: dict[str, Column], z: dict[str, Column], st
     return Fit(list(x), beta, cov, math.inf, {"n": n, "j": j, "j_p": dist.chi2_sf(j, over) if over > 0 else math.nan}, xe)
 
 
-def _weighted_gram(df: DataFrame, y: Column, x: Sequence[Column], w: Column) -> tuple[np.ndarray, np.ndarray]:
-    k = len(x)
-    s = outer_sum(df, [*x, y], w)
-    return s[:k, :k], s[:k, k]
-
-
-def irls(df: DataFrame, y: Column, x: Sequence[Column], start: np.ndarray, weight: Callable[[Column], Column], tol: float = 1e-8, max_iter: int = 200) -> tuple[np.ndarray, int]:
-    """Repeated weighted least squares; `weight` maps the residual column to a weight column."""
-    beta = start
-    for it in range(1, max_iter + 1):
-        a, b = _weighted_gram(df, y, x, weight(y - linear(beta, x)))
-        new = solve_spd(a, b)
-        if np.max(np.abs(new - beta)) <= tol * (1 + np.max(np.abs(beta))):
-            return new, it
-        beta = new
-    raise OptimizationFailed(f"no convergence in {max_iter} iterations")
+def _weighted_step(z: DataFrame, k: int, weight: Callable[[np.ndarray], np.ndarray], beta: np.ndarray) -> np.ndarray:
+    """One weighted least-squares step over columns z0.. (k regressors, then y): a numpy pass, so new coefficients compile nothing."""
+
+    def add(m: np.ndarray) -> np.ndarray:
+        w = weight(m[:, k] - m[:, :k] @ beta)
+        xw = m[:, :k] * w[:, None]
+        return np.concatenate([(xw.T @ m[:, :k]).ravel(), xw.T @ m[:, k]])
+
+    s = batch_sums(z, k * k + k, add)
+    return solve_spd(s[: k * k].reshape(k, k), s[k * k :])
 
 
 def quantile_regression(df: DataFrame, formula: str, tau: float = 0.5, *, eps: float = 1e-4, max_iter: int = 60) -> Fit:
@@ -246,16 +242,15 @@ def quantile_regression(df: DataFrame, formula: str, tau: float = 0.5, *, eps: f
     start = fit_columns(z, ye, dict(zip(x, xe, strict=True)))
     scale = max(start.stats["sigma"], 1e-12)
 
-    def weight(e: float) -> Callable[[Column], Column]:
-        return lambda u: F.when(u >= 0, F.lit(tau)).otherwise(F.lit(1 - tau)) / F.greatest(F.abs(u), F.lit(e * scale))
+    def weight(e: float) -> Callable[[np.ndarray], np.ndarray]:
+        return lambda u: np.where(u >= 0, tau, 1 - tau) / np.maximum(np.abs(u), e * scale)
 
     # The kink is rounded less and less, each stage starting from the last: few iterations per stage.
     beta, left, e = start.params, max_iter, 1e-1
     while True:
         for _ in range(min(8, left)):
             left -= 1
-            a, b = _weighted_gram(z, ye, xe, weight(e)(ye - linear(beta, xe)))
-            new = solve_spd(a, b)
+            new = _weighted_step(z, k, weight(e), beta)
             move = np.max(np.abs(new - beta)) / (1 + np.max(np.abs(beta)))
             beta = new
             if move <= e * 1e-2:
@@ -265,9 +260,10 @@ def quantile_regression(df: DataFrame, formula: str, tau: float = 0.5, *, eps: f
         e = max(e / 10, eps)
     u = ye - linear(beta, xe)
     n = int(start.stats["n"])
-    q = z.agg(F.percentile(u, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.stddev_samp(u).alias("s"), F.sum(u * (F.lit(tau) - F.when(u < 0, 1.0).otherwise(0.0))).alias("loss")).first()
+    lo, hi = quantiles(z, u, (0.25, 0.75))
+    q = z.agg(F.stddev_samp(u).alias("s"), F.sum(u * (F.lit(tau) - F.when(u < 0, 1.0).otherwise(0.0))).alias("loss")).first()
     h = n ** (-1 / 3) * dist.norm_ppf(0.975) ** (2 / 3) * ((1.5 * dist.norm_pdf(dist.norm_ppf(tau)) ** 2) / (2 * dist.norm_ppf(tau) ** 2 + 1)) ** (1 / 3)
-    width = min(q["s"] or 1.0, (q["q"][1] - q["q"][0]) / 1.34 or (q["s"] or 1.0)) * (dist.norm_ppf(min(tau + h, 1 - 1e-9)) - dist.norm_ppf(max(tau - h, 1e-9)))
+    width = min(q["s"] or 1.0, (hi - lo) / 1.34 or (q["s"] or 1.0)) * (dist.norm_ppf(min(tau + h, 1 - 1e-9)) - dist.norm_ppf(max(tau - h, 1e-9)))
     dens = outer_sum(z, xe, F.when(F.abs(u) < float(width), F.lit(1.0 / (2 * width))).otherwise(0.0))
     inv = inverse_spd(dens)
     cov = tau * (1 - tau) * inv @ outer_sum(z, xe, F.lit(1.0)) @ inv
@@ -275,16 +271,16 @@ def quantile_regression(df: DataFrame, formula: str, tau: float = 0.5, *, eps: f
 
 
 #: Robust norms: weight functions of u / scale with their usual tuning constants.
-NORMS: dict[str, tuple[float, Callable[[Column, float], Column]]] = {
-    "huber": (1.345, lambda u, c: F.when(F.abs(u) <= c, 1.0).otherwise(F.lit(c) / F.abs(u))),
-    "bisquare": (4.685, lambda u, c: F.when(F.abs(u) <= c, F.pow(1 - (u / c) * (u / c), 2)).otherwise(0.0)),
-    "hampel": (2.0, lambda u, c: F.when(F.abs(u) <= c, 1.0).when(F.abs(u) <= 2 * c, F.lit(c) / F.abs(u)).when(F.abs(u) <= 4 * c, c / F.abs(u) * (4 * c - F.abs(u)) / (2 * c)).otherwise(0.0)),
-    "andrew": (1.339, lambda u, c: F.when(F.abs(u) < 1e-12, 1.0).when(F.abs(u) <= math.pi * c, F.sin(u / c) / (u / c)).otherwise(0.0)),
+NORMS: dict[str, tuple[float, Callable[[np.ndarray, float], np.ndarray]]] = {
+    "huber": (1.345, lambda u, c: np.where(np.abs(u) <= c, 1.0, c / np.maximum(np.abs(u), c))),
+    "bisquare": (4.685, lambda u, c: np.where(np.abs(u) <= c, (1 - (u / c) ** 2) ** 2, 0.0)),
+    "hampel": (2.0, lambda u, c: np.select([np.abs(u) <= c, np.abs(u) <= 2 * c, np.abs(u) <= 4 * c], [np.ones_like(u), c / np.maximum(np.abs(u), c), c / np.maximum(np.abs(u), c) * (4 * c - np.abs(u)) / (2 * c)], 0.0)),
+    "andrew": (1.339, lambda u, c: np.where(np.abs(u) <= math.pi * c, np.sinc(u / c / math.pi), 0.0)),
 }
 
 
 def robust_regression(df: DataFrame, formula: str, norm: str = "huber", *, tol: float = 1e-7, max_iter: int = 100) -> Fit:
-    """M-estimation with the scale MAD / 0.6745 re-estimated exactly in every iteration."""
+    """M-estimation with the scale MAD / 0.6745 re-estimated exactly in every iteration, the median by counts per bin."""
     c, wf = NORMS[norm]
     y, x = Formula.parse(formula).design(df)
     z = checkpoint(materialise(df, x | {"y": y}))
@@ -292,23 +288,24 @@ def robust_regression(df: DataFrame, formula: str, norm: str = "huber", *, tol:
     xe, ye = [F.col(f"z{i}") for i in range(k)], F.col(f"z{k}")
     beta = fit_columns(z, ye, dict(zip(x, xe, strict=True))).params
     for _ in range(max_iter):
-        u = ye - linear(beta, xe)
-        scale = z.agg(F.median(F.abs(u))).first()[0] / 0.6744897501960817
+        scale = quantiles(z, F.abs(ye - linear(beta, xe)), [0.5])[0] / 0.6744897501960817
         if scale <= 0:
             break
-        a, b = _weighted_gram(z, ye, xe, wf(u / scale, c))
-        new = solve_spd(a, b)
+        at = scale
+        new = _weighted_step(z, k, lambda u: wf(u / at, c), beta)  # noqa: B023
         done = np.max(np.abs(new - beta)) <= tol * (1 + np.max(np.abs(beta)))
         beta = new
         if done:
             break
-    u = (ye - linear(beta, xe)) / max(scale, 1e-300)
-    w = wf(u, c)
-    n = z.count()
-    psi2 = z.agg(F.avg(F.pow(w * u, 2)).alias("p"), F.avg(F.when(F.abs(u) <= c, 1.0).otherwise(0.0)).alias("d")).first()
+
+    def spread(m: np.ndarray) -> np.ndarray:
+        u = (m[:, k] - m[:, :k] @ beta) / max(scale, 1e-300)
+        return np.array([((wf(u, c) * u) ** 2).sum(), (np.abs(u) <= c).sum(), len(u)])
+
+    psi2, inside, n = batch_sums(z, 3, spread)
     xx = inverse_spd(outer_sum(z, xe, F.lit(1.0)))
-    cov = scale**2 * psi2["p"] * n / (n - k) / max(psi2["d"], 1e-12) ** 2 * xx
-    return Fit(list(x), beta, cov, math.inf, {"n": n, "scale": float(scale)}, list(x.values()))
+    cov = scale**2 * psi2 / (n - k) / max(inside / n, 1e-12) ** 2 * xx
+    return Fit(list(x), beta, cov, math.inf, {"n": int(n), "scale": float(scale)}, list(x.values()))
 
 
 def cochrane_orcutt(df: DataFrame, formula: str, order_by: Sequence[str], *, ar: int = 1, tol: float = 1e-6, max_iter: int = 100) -> Fit:

@@ -15,6 +15,7 @@ from gramforge import dist
 from gramforge.errors import InvalidOperation
 from gramforge.operators.ordered import Ordered
 from gramforge.plans.moments import gram, linear
+from gramforge.plans.select import quantiles
 from gramforge.util import checkpoint, col
 
 
@@ -115,8 +116,9 @@ _KERNELS = {"gaussian": lambda u: F.exp(-0.5 * u * u) / math.sqrt(2 * math.pi),
 
 
 def silverman(df: DataFrame, name: str) -> float:
-    r = df.agg(F.count(col(name)).alias("n"), F.stddev_samp(col(name)).alias("s"), F.percentile(col(name), F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()
-    iqr = (r["q"][1] - r["q"][0]) / 1.34
+    r = df.agg(F.count(col(name)).alias("n"), F.stddev_samp(col(name)).alias("s")).first()
+    lo, hi = quantiles(df, col(name), (0.25, 0.75))
+    iqr = (hi - lo) / 1.34
     return 0.9 * (min(r["s"], iqr) if iqr > 0 else r["s"]) * r["n"] ** -0.2
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import html
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gramforge import dist
-from gramforge.plans.moments import linear
+from gramforge.errors import InvalidOperation
+from gramforge.plans.moments import linear, quadratic
 
 
 @dataclass
@@ -22,6 +24,7 @@ class Fit:
     stats: dict[str, float] = field(default_factory=dict)
     exprs: list[Column] = field(default_factory=list, repr=False)
     link_inverse: object = field(default=None, repr=False)
+    link: str | None = None
 
     @property
     def se(self) -> np.ndarray:
@@ -62,6 +65,32 @@ class Fit:
     def predict(self, df: DataFrame, out: str = "fitted") -> DataFrame:
         return df.withColumn(out, self.predictor())
 
+    def with_inference(self, kind: str) -> Fit:
+        """The same fit with "t" (needs residual degrees of freedom) or "normal" tests and intervals."""
+        if kind not in ("t", "normal"):
+            raise InvalidOperation(f"unknown inference {kind!r}")
+        free = self.stats.get("df_resid", self.df_resid)
+        if kind == "t" and math.isinf(free):
+            raise InvalidOperation("no residual degrees of freedom")
+        return replace(self, df_resid=math.inf if kind == "normal" else free)
+
+    def get_prediction(self, df: DataFrame, level: float = 0.95) -> DataFrame:
+        """Rows of `df` with predicted, pred_se, ci_low, ci_high (of the mean, through the link where there is one) and, for a fit with
+        `sigma`, obs_low and obs_high (of a new observation)."""
+        k = len(self.exprs)
+        eta, var = linear(self.params[:k], self.exprs), quadratic(self.cov[:k, :k], self.exprs)
+        p = 0.5 + level / 2
+        q = dist.norm_ppf(p) if math.isinf(self.df_resid) else dist.t_ppf(p, self.df_resid)
+        x = df.withColumn("_eta", eta).withColumn("pred_se", F.sqrt(F.greatest(var, F.lit(0.0))))
+        low, high = F.col("_eta") - q * F.col("pred_se"), F.col("_eta") + q * F.col("pred_se")
+        inv = self.link_inverse or (lambda e: e)
+        a, b = inv(low), inv(high)
+        x = x.withColumn("predicted", inv(F.col("_eta"))).withColumn("ci_low", F.least(a, b)).withColumn("ci_high", F.greatest(a, b))
+        if "sigma" in self.stats and not self.link_inverse:
+            wide = q * F.sqrt(F.col("pred_se") * F.col("pred_se") + float(self.stats["sigma"]) ** 2)
+            x = x.withColumn("obs_low", F.col("_eta") - wide).withColumn("obs_high", F.col("_eta") + wide)
+        return x.drop("_eta")
+
     def wald_test(self, r: np.ndarray, q: np.ndarray | None = None) -> tuple[float, float]:
         """(statistic, p): F for finite residual degrees of freedom, else chi-square."""
         r = np.atleast_2d(r)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gramforge.models.results import Fit
 from gramforge.operators.ordered import Ordered
 from gramforge.plans.moments import linear
+from gramforge.plans.scan import prefix_sum
 from gramforge.util import checkpoint, col
 
 
@@ -38,20 +39,19 @@ def cox(df: DataFrame, duration: str, event: str, x: Sequence[str], *, tol: floa
     k = len(x)
     m = df.agg(*[F.avg(col(c)) for c in x]).first()
     z = checkpoint(df.select(col(duration).alias("t"), col(event).cast("int").alias("e"), *[(col(c).cast("double") - float(v)).alias(f"z{i}") for i, (c, v) in enumerate(zip(x, m, strict=True))]))
+    # The times never change: they are put in order and cut into blocks once.
+    o = Ordered(z.select("t").distinct(), [F.col("t").desc()])
+    z = checkpoint(z.join(o._blocks(o.block_rows).select("t", F.col(o.pos).alias("p"), F.col(o.block).alias("blk")), "t").drop("t"))
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     xs = [F.col(f"z{i}") for i in range(k)]
     b, ll = np.zeros(k), -math.inf
     for _ in range(max_iter):
         w = z.withColumn("w", F.exp(linear(b, xs)))
-        c = w.groupBy("t").agg(F.sum("e").alias("d"), F.sum("w").alias("s0"), *[F.sum(F.col("w") * xs[i]).alias(f"s{i + 1}") for i in range(k)], *[F.sum(F.col("w") * xs[i] * xs[j]).alias(f"q{i}_{j}") for i, j in pairs], *[F.sum(F.when(F.col("e") == 1, xs[i]).otherwise(0.0)).alias(f"x{i}") for i in range(k)])
-        o = Ordered(c, [F.col("t").desc()])
+        c = w.groupBy("p", "blk").agg(F.sum("e").alias("d"), F.sum("w").alias("s0"), *[F.sum(F.col("w") * xs[i]).alias(f"s{i + 1}") for i in range(k)], *[F.sum(F.col("w") * xs[i] * xs[j]).alias(f"q{i}_{j}") for i, j in pairs], *[F.sum(F.when(F.col("e") == 1, xs[i]).otherwise(0.0)).alias(f"x{i}") for i in range(k)])
         names = [f"s{i}" for i in range(k + 1)] + [f"q{i}_{j}" for i, j in pairs]
-        run = o._blocks(o.block_rows)
-        here = Window.partitionBy(*o._key_cols(), col(o.block)).orderBy(o.pos).rowsBetween(Window.unboundedPreceding, 0)
-        prev = Window.partitionBy(*o._key_cols()).orderBy(o.block).rowsBetween(Window.unboundedPreceding, -1)
-        tots = run.groupBy(*o._key_cols(), col(o.block)).agg(*[F.sum(n).alias(f"t_{n}") for n in names])
-        tots = tots.select(*o._key_cols(), col(o.block), *[F.coalesce(F.sum(f"t_{n}").over(prev), F.lit(0.0)).alias(f"c_{n}") for n in names])
-        run = o._join(run.select("*", *[F.sum(n).over(here).alias(f"r_{n}") for n in names]), tots, [o.block]).where("d > 0")
+        here = Window.partitionBy("blk").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+        tots = prefix_sum(c.groupBy("blk").agg(*[F.sum(n).alias(n) for n in names]), [], "blk", names, [f"c_{n}" for n in names]).select("blk", *[f"c_{n}" for n in names])
+        run = c.select("*", *[F.sum(n).over(here).alias(f"r_{n}") for n in names]).join(tots, "blk").where("d > 0")
         s = {n: F.col(f"r_{n}") + F.col(f"c_{n}") for n in names}
         r = run.agg(F.sum(linear(b, [F.col(f"x{i}") for i in range(k)]) - F.col("d") * F.ln(s["s0"])).alias("ll"), F.sum("d").alias("d"), *[F.sum(F.col(f"x{i}") - F.col("d") * s[f"s{i + 1}"] / s["s0"]).alias(f"g{i}") for i in range(k)], *[F.sum(F.col("d") * (s[f"q{i}_{j}"] / s["s0"] - s[f"s{i + 1}"] * s[f"s{j + 1}"] / (s["s0"] * s["s0"]))).alias(f"h{i}_{j}") for i, j in pairs]).first()
         h = np.zeros((k, k))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramforge.errors import InvalidOperation
-from gramforge.plans.scan import prefix_sum
+from gramforge.plans.scan import carry_before, prefix_sum
 from gramforge.util import checkpoint, col, free_name, join_on, require
 
 
@@ -113,10 +113,8 @@ class Ordered:
         taken = [*x.columns, *outs]
         tot, run, carry = ([free_name(f"{n}{i}", taken) for i in range(len(columns))] for n in ("_tot", "_run", "_carry"))
         here = Window.partitionBy(*self._key_cols(), col(self.block)).orderBy(self.pos).rowsBetween(Window.unboundedPreceding, 0)
-        # Block aggregates are rows / block_rows in number; their own scan is a window of that size per key.
         tots = x.groupBy(*self._key_cols(), col(self.block)).agg(*[agg(col(c)).alias(t) for c, t in zip(columns, tot, strict=True)])
-        prev = Window.partitionBy(*self._key_cols()).orderBy(self.block).rowsBetween(Window.unboundedPreceding, -1)
-        tots = tots.select(*self._key_cols(), col(self.block), *[agg(col(t)).over(prev).alias(c) for t, c in zip(tot, carry, strict=True)])
+        tots = carry_before(tots, self.keys, self.block, tot, carry, agg, agg, combine)
         x = self._join(x.select("*", *[agg(col(c)).over(here).alias(r) for c, r in zip(columns, run, strict=True)]), tots, [self.block])
         made = [F.when(col(c).isNull(), col(r)).when(col(r).isNull(), col(c)).otherwise(combine(col(c), col(r))).alias(o) for c, r, o in zip(carry, run, outs, strict=True)]
         return x.select(*[col(c) for c in self.source], col(self.pos), *made)
@@ -148,8 +146,10 @@ class Ordered:
         # Blocks without any given value have no summary; every block looks up the nearest earlier one.
         every = x.select(*self._key_cols(), col(self.block)).distinct()
         every = self._join(every, ends.select(*self._key_cols(), col(self.block), end), [self.block]).withColumn(key, col(self.block) if forward else -col(self.block))
-        prev = Window.partitionBy(*self._key_cols()).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-        every = every.select(*self._key_cols(), col(self.block), F.last(col(end), True).over(prev).alias(carry))
+        # Nearest in block order is the greatest position, or the least one backwards.
+        far = F.max if forward else F.min
+        carried = carry_before(every, self.keys, key, [end], [carry], far, far, F.greatest if forward else F.least)
+        every = carried.withColumn(self.block, col(key) if forward else -col(key)).drop(key)
         x = self._join(x.withColumn(out, near), every, [self.block])
         return x.withColumn(out, F.coalesce(col(out), col(carry))).drop(carry)
 

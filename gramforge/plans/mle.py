@@ -89,13 +89,18 @@ def maximise(z: DataFrame, start: Sequence[float], kernel: Kernel, *, tol: float
         vals, vecs = np.linalg.eigh(-h)
         floor = max(1e-10, 1e-9 * abs(vals).max())
         step = vecs @ ((vecs.T @ g) / np.maximum(np.abs(vals), floor))
-        for _ in range(40):
-            cand = derivatives(z, b + step, kernel)
-            if np.isfinite(cand[0]) and cand[0] >= ll - 1e-12 * abs(ll):
+        # The full step is mostly accepted, so it is tried with its derivatives; halved steps with the likelihood alone.
+        cand = derivatives(z, b + step, kernel)
+        if not (np.isfinite(cand[0]) and cand[0] >= ll - 1e-12 * abs(ll)):
+            for _ in range(40):
+                step = step / 2
+                at = b + step
+                value = batch_sums(z, 1, lambda m: np.array([kernel(at, m)[0].sum()]))[0]  # noqa: B023
+                if np.isfinite(value) and value >= ll - 1e-12 * abs(ll):
+                    break
+            else:
                 break
-            step = step / 2
-        else:
-            break
+            cand = derivatives(z, b + step, kernel)
         b = b + step
         gain = cand[0] - ll
         ll, g, h, op, n = cand

@@ -1,6 +1,7 @@
 """Sufficient statistics as Catalyst aggregates.
 
-`gram` adds the cross products of expressions in one job per pass. Up to `JVM_TERMS`
+`gram` adds the cross products of expressions: in one pass for up to `ONE_PASS_TERMS` of them without weights, else in
+a pass for the means and one for the centred products. Up to `JVM_TERMS`
 expressions stay in whole-stage code; wider designs are multiplied per Arrow batch in numpy, so only one k x k
 matrix per task is shuffled. Columns are centred and scaled before multiplying.
 """
@@ -19,6 +20,8 @@ from gramforge.errors import InvalidOperation, SingularMatrix
 from gramforge.util import col
 
 JVM_TERMS = 12
+#: Up to this many expressions without weights one pass suffices.
+ONE_PASS_TERMS = 5
 
 
 @dataclass
@@ -45,6 +48,13 @@ def materialise(df: DataFrame, exprs: dict[str, Column], keep: Sequence[str] = (
     return df.select(*[col(c) for c in keep], *[e.cast("double").alias(f"z{i}") for i, e in enumerate(exprs.values())])
 
 
+def _check(r) -> None:
+    if not r["n"]:
+        raise InvalidOperation("no rows")
+    if r["bad"]:
+        raise InvalidOperation(f"{r['bad']} rows hold NULL, NaN or infinite values")
+
+
 def gram(df: DataFrame, exprs: dict[str, Column], weight: Column | None = None) -> Gram:
     """Cross moments of `exprs` over all rows. NULL, NaN or infinite values are an error."""
     names = list(exprs)
@@ -55,11 +65,17 @@ def gram(df: DataFrame, exprs: dict[str, Column], weight: Column | None = None)
         b = F.col(f"z{i}").isNull() | F.isnan(f"z{i}") | (F.abs(F.col(f"z{i}")) == float("inf"))
         bad = b if bad is None else bad | b
     w = F.col("w")
+    if weight is None and k <= ONE_PASS_TERMS:
+        # Spark's own covariance aggregates merge centred sums, so one pass gives what two give.
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        r = z.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), *[F.avg(f"z{i}").alias(f"m{i}") for i in range(k)], *[F.covar_pop(f"z{i}", f"z{j}").alias(f"s{i}_{j}") for i, j in pairs]).first()
+        _check(r)
+        s = np.zeros((k, k))
+        for i, j in pairs:
+            s[i, j] = s[j, i] = r[f"s{i}_{j}"] * r["n"]
+        return Gram(names, int(r["n"]), float(r["n"]), np.array([r[f"m{i}"] for i in range(k)]), s)
     first = z.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"), F.count_if(bad).alias("bad"), *[F.sum(w * F.col(f"z{i}")).alias(f"m{i}") for i in range(k)]).first()
-    if not first["n"]:
-        raise InvalidOperation("no rows")
-    if first["bad"]:
-        raise InvalidOperation(f"{first['bad']} rows hold NULL, NaN or infinite values")
+    _check(first)
     sw = float(first["sw"])
     mean = np.array([first[f"m{i}"] / sw for i in range(k)])
     if k <= JVM_TERMS:

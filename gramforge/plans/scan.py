@@ -9,7 +9,7 @@ rows / (shard size * fan) summaries.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,3 +54,21 @@ def prefix_sum(summary: DataFrame, keys: Sequence[str], shard: str, values: Sequ
     return join_on(x, tops, [*keys, sup]).select(
         *[col(c) for c in summary.columns], *[(col(o) + F.coalesce(col(t), F.lit(0))).alias(o) for o, t in zip(outs, tots, strict=True)]
     )
+
+
+def carry_before(summary: DataFrame, keys: Sequence[str], shard: str, values: Sequence[str], outs: Sequence[str], over: Callable[[Column], Column], whole: Callable[[Column], Column], combine: Callable[[Column, Column], Column], fan: int = 1024) -> DataFrame:
+    """(keys, shard, outs): each of `values` aggregated over all earlier shards of its key, NULL before the first.
+
+    over: the aggregate over a window in shard order; whole: the same over a group of shards, in any order; combine joins an earlier and a later part.
+    """
+    sup = free_name("_super", [*summary.columns, *outs])
+    tots = [free_name(f"_tot{i}", [*summary.columns, *outs]) for i in range(len(values))]
+    k = [col(x) for x in keys]
+    s = summary.withColumn(sup, F.floor(col(shard) / F.lit(fan)))
+    inner = Window.partitionBy(*k, col(sup)).orderBy(col(shard)).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*k).orderBy(col(sup)).rowsBetween(Window.unboundedPreceding, -1)
+    tops = s.groupBy(*k, col(sup)).agg(*[whole(col(v)).alias(t) for v, t in zip(values, tots, strict=True)])
+    tops = tops.select(*k, col(sup), *[over(col(t)).over(outer).alias(t) for t in tots])
+    x = join_on(s.select(*k, col(sup), col(shard), *[over(col(v)).over(inner).alias(o) for v, o in zip(values, outs, strict=True)]), tops, [*keys, sup])
+    made = [F.when(col(t).isNull(), col(o)).when(col(o).isNull(), col(t)).otherwise(combine(col(t), col(o))).alias(o) for o, t in zip(outs, tots, strict=True)]
+    return x.select(*k, col(shard), *made)

@@ -47,24 +47,25 @@ def rename_drop(spark, d):
 
 def _join(how: str):
     def f(spark, d):
-        c = Frame(read_table(spark, d, "customer")).select("c_custkey", "c_mktsegment").filter("c_custkey % 3 <> 0")
-        o = Frame(read_table(spark, d, "orders")).rename({"o_custkey": "c_custkey"}).select("o_orderkey", "c_custkey")
-        out = o.merge(c, "c_custkey", how).df
-        return out if how in ("semi", "anti") else out.select("c_custkey", "o_orderkey", "c_mktsegment")
+        # Firm numbers against order numbers: keys without a partner on both sides, repeated and NULL keys on one.
+        c = Frame(read_table(spark, d, "orders")).rename({"o_orderkey": "k"}).select("k", "o_orderpriority")
+        o = Frame(read_table(spark, d, "panel_data")).rename({"firm_id": "k"}).select("obs_id", "k")
+        out = o.merge(c, "k", how).df
+        return out if how in ("semi", "anti") else out.select("k", "obs_id", "o_orderpriority")
 
     f.__name__ = f"merge_{how}"
     return f
 
 
 for _how, _sql in {
-    "inner": "select c_custkey, o_orderkey, c_mktsegment from o join c using (c_custkey)",
-    "left": "select c_custkey, o_orderkey, c_mktsegment from o left join c using (c_custkey)",
-    "right": "select c_custkey, o_orderkey, c_mktsegment from o right join c using (c_custkey)",
-    "outer": "select c_custkey, o_orderkey, c_mktsegment from o full join c using (c_custkey)",
-    "semi": "select c_custkey, o_orderkey from o semi join c using (c_custkey)",
-    "anti": "select c_custkey, o_orderkey from o anti join c using (c_custkey)",
+    "inner": "select k, obs_id, o_orderpriority from o join c using (k)",
+    "left": "select k, obs_id, o_orderpriority from o left join c using (k)",
+    "right": "select k, obs_id, o_orderpriority from o right join c using (k)",
+    "outer": "select k, obs_id, o_orderpriority from o full join c using (k)",
+    "semi": "select k, obs_id from o semi join c using (k)",
+    "anti": "select k, obs_id from o anti join c using (k)",
 }.items():
-    query("with c as (select c_custkey, c_mktsegment from customer where c_custkey % 3 <> 0), o as (select o_orderkey, o_custkey as c_custkey from orders) " + _sql)(_join(_how))
+    query("with c as (select o_orderkey as k, o_orderpriority from orders), o as (select obs_id, firm_id as k from panel_data) " + _sql)(_join(_how))
 
 
 def _group(agg: str):
@@ -215,9 +216,9 @@ def count_na(spark, d):
     return spark.createDataFrame([(r["x1"], r["firm_id"], r["loaded_at"])], "x1 long, firm_id long, loaded_at long")
 
 
-@query("select obs_id, case when x1 is null or isnan(x1) then (select avg(x1) from panel_data where not isnan(x1) and isfinite(x1)) else x1 end as x1 from panel_data where x1 is null or isfinite(x1) or isnan(x1)")
+@query("select obs_id, case when x1 is null or isnan(x1) then (select avg(x1) from panel_data where not isnan(x1)) else x1 end as x1 from panel_data")
 def fillna_mean(spark, d):
-    return Frame(read_table(spark, d, "panel_data").select("obs_id", "x1").where("x1 is null or isnan(x1) or abs(x1) < double('Infinity')")).fillna_mean().df
+    return Frame(read_table(spark, d, "panel_data").select("obs_id", "x1")).fillna_mean().df
 
 
 QUERIES["fillna_mean"] = lambda spark, d, f=fillna_mean: f(spark, d).withColumn("x1", F.round("x1", 8))

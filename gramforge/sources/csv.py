@@ -43,11 +43,21 @@ def infer_types(df: DataFrame, config: InferenceConfig = InferenceConfig()) -> d
         v = F.trim(col(c))
         v = F.when(~v.isin(*config.nulls), v)
         num = v.try_cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.count_distinct(v).alias(f"d{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+        aggs += [F.count(v).alias(f"n{i}"), F.approx_count_distinct(v, 0.02).alias(f"d{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
         aggs += [F.count_if(v.isin(*config.true, *config.false)).alias(f"b{i}"), F.count_if(v.rlike(r"^[+-]?\d+$") & v.try_cast("bigint").isNotNull()).alias(f"i{i}"), F.count(num).alias(f"f{i}")]
         aggs += [F.count_if(num.isNotNull() & (F.isnan(num) | (F.abs(num) == float("inf")))).alias(f"x{i}"), F.count_if(num == F.floor(num)).alias(f"w{i}")]
         aggs += [F.count(F.try_to_timestamp(v, F.lit(d))).alias(f"t{i}_{j}") for j, d in enumerate(config.dates)]
     r = df.agg(*aggs).first()
+
+    def value(i: int) -> Column:
+        v = F.trim(col(df.columns[i]))
+        return F.when(~v.isin(*config.nulls), v)
+
+    # Distinct values are estimated; where that could tip a decision, the columns concerned are counted exactly.
+    few = [i for i in range(len(df.columns)) if r[f"n{i}"] and r[f"d{i}"] <= 8 and not r[f"f{i}"]]
+    two = df.agg(*[F.count_if(value(i).isin(r[f"lo{i}"], r[f"hi{i}"])).alias(f"e{i}") for i in few]).first().asDict() if few else {}
+    near = [i for i in range(len(df.columns)) if r[f"n{i}"] and abs(r[f"d{i}"] / r[f"n{i}"] - config.categorical_ratio) < 0.15 * config.categorical_ratio]
+    shares = {i: df.agg(F.count_distinct(value(i))).first()[0] / r[f"n{i}"] for i in near}
     out: dict[str, tuple] = {}
     for i, c in enumerate(df.columns):
         n, numeric = r[f"n{i}"], r[f"f{i}"]
@@ -56,7 +66,7 @@ def infer_types(df: DataFrame, config: InferenceConfig = InferenceConfig()) -> d
             out[c] = ("double", None)
         elif r[f"b{i}"] == n:
             out[c] = ("boolean", None)
-        elif r[f"d{i}"] == 2 and numeric == 0:
+        elif i in few and r[f"lo{i}"] != r[f"hi{i}"] and two[f"e{i}"] == n:
             out[c] = ("boolean", r[f"hi{i}"])
         elif r[f"i{i}"] == n:
             out[c] = ("bigint", None)
@@ -65,7 +75,7 @@ def infer_types(df: DataFrame, config: InferenceConfig = InferenceConfig()) -> d
         elif dates:
             out[c] = ("timestamp", dates[0])
         else:
-            out[c] = ("categorical" if r[f"d{i}"] / n < config.categorical_ratio else "string", None)
+            out[c] = ("categorical" if shares.get(i, r[f"d{i}"] / n) < config.categorical_ratio else "string", None)
     return out
 
 

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramforge import dist
@@ -102,20 +102,28 @@ def psm(df: DataFrame, y: str, treated: str, x: Sequence[str], *, caliper: float
     return {"att": r["att"], "se": r["s"] / math.sqrt(r["n"]) if r["n"] else math.nan, "matched": r["n"]}
 
 
-def ipw(df: DataFrame, y: str, treated: str, x: Sequence[str], clip: float = 0.01) -> dict[str, float]:
-    """Doubly robust (AIPW) average effect with linear outcome models and a logit propensity."""
+def _pseudo_outcome(df: DataFrame, y: str, treated: str, x: Sequence[str], clip: float) -> Column:
+    """Doubly robust signal of a row's own effect: linear outcome models per arm and a logit propensity."""
     p = F.least(F.greatest(logit(df, f"{treated} ~ {' + '.join(x)}").predictor(), F.lit(clip)), F.lit(1 - clip))
     reg = {"const": F.lit(1.0)} | {c: col(c) for c in x}
     m1 = fit_columns(df.where(col(treated) == 1), col(y), reg).predictor()
     m0 = fit_columns(df.where(col(treated) == 0), col(y), reg).predictor()
     t = col(treated).cast("double")
-    phi = m1 - m0 + t * (col(y) - m1) / p - (1 - t) * (col(y) - m0) / (1 - p)
+    return m1 - m0 + t * (col(y) - m1) / p - (1 - t) * (col(y) - m0) / (1 - p)
+
+
+def ipw(df: DataFrame, y: str, treated: str, x: Sequence[str], clip: float = 0.01) -> dict[str, float]:
+    """Doubly robust (AIPW) average effect with linear outcome models and a logit propensity."""
+    phi = _pseudo_outcome(df, y, treated, x, clip)
     r = df.agg(F.avg(phi).alias("a"), F.stddev_samp(phi).alias("s"), F.count(F.lit(1)).alias("n")).first()
     se = r["s"] / math.sqrt(r["n"])
     return {"ate": r["a"], "se": se, "z": r["a"] / se, "p": dist.norm_two_sided(r["a"] / se)}
 
 
-dr_learner = ipw
+def dr_learner(df: DataFrame, y: str, treated: str, x: Sequence[str], *, effect: Sequence[str] | None = None, clip: float = 0.01) -> Fit:
+    """Conditional effects: the doubly robust signals regressed on `effect` (default x), HC1 errors; `predict` gives a row's effect."""
+    phi = _pseudo_outcome(df, y, treated, x, clip)
+    return fit_columns(df, phi, {"const": F.lit(1.0)} | {c: col(c) for c in (x if effect is None else effect)}, Cov("HC1"))
 
 
 def double_ml(df: DataFrame, y: str, treated: str, x: Sequence[str], folds: int = 5, seed: int = 0) -> dict[str, float]:
@@ -298,4 +306,3 @@ def causal_forest(df: DataFrame, y: str, treated: str, x: Sequence[str], *, tree
     return model.transform(d).drop("__f", "__y", "__w")
 
 
-orthogonal_forest = causal_forest

@@ -424,6 +424,34 @@ def multinomial_logit(df: DataFrame, formula: str) -> Fit:
     return Fit([f"{lv:g}:{c}" for lv in levels[1:] for c in x], b, np.linalg.pinv(-h), math.inf, {"n": n, "log_likelihood": ll}, [])
 
 
+def multinomial_probabilities(df: DataFrame, fit: Fit, formula: str) -> DataFrame:
+    """Rows of `df` with `p_<level>` per level of a multinomial fit; the base level's column is p_base."""
+    _, x = Formula.parse(formula).design(df)
+    k, levels = len(x), list(dict.fromkeys(n.split(":", 1)[0] for n in fit.names))
+    eta = {lv: linear(fit.params[i * k : (i + 1) * k], list(x.values())) for i, lv in enumerate(levels)}
+    top = F.greatest(F.lit(0.0), *eta.values()) if eta else F.lit(0.0)
+    total = F.exp(-top)
+    for e in eta.values():
+        total = total + F.exp(e - top)
+    return df.select("*", (F.exp(-top) / total).alias("p_base"), *[(F.exp(e - top) / total).alias(f"p_{lv}") for lv, e in eta.items()])
+
+
+def relative_risk_ratios(fit: Fit) -> dict[str, float]:
+    return dict(zip(fit.names, map(float, np.exp(fit.params)), strict=True))
+
+
+def ordered_probabilities(df: DataFrame, fit: Fit, *, normal: bool = False) -> DataFrame:
+    """Rows of `df` with p_1, p_2 ... of the sorted categories of an ordered logit (or, with `normal`, probit) fit."""
+    k = len(fit.exprs)
+    eta, cuts = linear(fit.params[:k], fit.exprs), [float(c) for c in fit.params[k:]]
+    if normal:
+        cdf = F.pandas_udf(lambda s: s.__class__(dist.norm_cdf(s.to_numpy(float))), "double")
+    else:
+        cdf = LINKS["logit"].inverse
+    below = [F.lit(0.0), *[cdf(F.lit(c) - eta) for c in cuts], F.lit(1.0)]
+    return df.select("*", *[(b - a).alias(f"p_{i}") for i, (a, b) in enumerate(zip(below, below[1:], strict=False), 1)])
+
+
 def beta_regression(df: DataFrame, formula: str) -> Fit:
     """Logit mean, ln(phi) precision; responses strictly between 0 and 1."""
 
@@ -457,7 +485,7 @@ def heckman(df: DataFrame, formula: str, selection: str) -> tuple[Fit, Fit]:
     """Two steps: probit of selection, then least squares with the inverse Mills ratio over selected rows."""
     sel = probit(df, selection)
     eta = linear(sel.params, sel.exprs)
-    mills = F.pandas_udf(lambda s: s.map(lambda v: float(dist.norm_pdf(v) / max(dist.norm_cdf(v), 1e-300))), "double")
+    mills = F.pandas_udf(lambda s: s.__class__(dist.norm_pdf(s.to_numpy(float)) / np.maximum(dist.norm_cdf(s.to_numpy(float)), 1e-300)), "double")
     s = Formula.parse(selection).response
     y, x = Formula.parse(formula).design(df)
     rows = df.where(F.col(s) == 1).select(*[e.cast("double").alias(f"z{i}") for i, e in enumerate(x.values())], y.alias("y"), mills(eta).alias("mills"))

@@ -20,6 +20,7 @@ from gramforge.util import checkpoint, col, join_on
 
 #: Periods of a dynamic panel.
 MAX_PERIODS = 200
+MAX_INSTRUMENTS = 2000
 
 
 def _project(df: DataFrame, y: str, x: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -266,7 +267,8 @@ def _entity_kernel(df: DataFrame, entity: str, size: int, func) -> np.ndarray:
 def arellano_bond(df: DataFrame, y: str, x: Sequence[str], entity: str, time: str, *, max_lag: int = 99, two_step: bool = True, system: bool = False) -> Fit:
     """Difference (or system) GMM for y_it = rho y_i,t-1 + x'b + a_i + e_it with instruments y_i,t-2, ... and the differenced x.
 
-    Periods are the sorted distinct times (at most MAX_PERIODS; instruments grow with their square). Only instrument-sized matrices are added.
+    Periods are the sorted distinct times (at most MAX_PERIODS); instruments grow with their square and more than MAX_INSTRUMENTS are an
+    error, as every task adds matrices of that size. max_lag limits how many lags of y serve as instruments of a period (99: all of up to 100 periods).
     """
     times = [r[0] for r in df.select(col(time)).distinct().orderBy(col(time)).limit(MAX_PERIODS + 1).collect()]
     if len(times) > MAX_PERIODS:
@@ -275,6 +277,8 @@ def arellano_bond(df: DataFrame, y: str, x: Sequence[str], entity: str, time: st
     cap, k = len(times), 1 + len(x)
     blocks: list[tuple[int, int]] = [(t, s) for t in range(2, cap) for s in range(max(0, t - 1 - max_lag), t - 1)]
     nz = len(blocks) + len(x) + ((cap - 2 + 1 + len(x)) if system else 0)
+    if nz > MAX_INSTRUMENTS:
+        raise InvalidOperation(f"{nz} instruments, over {MAX_INSTRUMENTS}: lower max_lag or use coarser periods")
     pos = {b: i for i, b in enumerate(blocks)}
 
     def parts(pdf: pd.DataFrame):

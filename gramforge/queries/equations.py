@@ -137,10 +137,10 @@ def ols_influence(spark, d):
 
 
 @query("""with w as (select event_id, case when row_number() over o >= 20 then regr_slope(value, user_id) over (order by event_id rows between 19 preceding and current row) end as b from events window o as (order by event_id))
-select event_id, round(b / 0.7, 4) as slope from w where b is not null""")
+select event_id, round(b / 0.7, 4) + 0.0 as slope from w where b is not null""")
 def rolling_regression(spark, d):
     x = linear.rolling_ols(read_table(spark, d, "events"), "value", ["user_id"], 20, ["event_id"])
-    return x.select("event_id", F.round(F.col("b_user_id") / 0.7, 4).alias("slope")).where("slope is not null and not isnan(slope)")
+    return x.select("event_id", (F.round(F.col("b_user_id") / 0.7, 4) + 0.0).alias("slope")).where("slope is not null and not isnan(slope)")
 
 
 @query(f"with {_OLS2} select 'l_quantity' as term, round(b1, 4) as estimate from o union all select 'l_tax', round(b2, 4) from o")
@@ -278,7 +278,7 @@ q as (select 1 - theta as c, l_extendedprice - theta * my as y, l_quantity - the
 
 
 @query(f"with {_RE} select 'const' as term, round(b1, 3) as estimate, round(se1, 3) as std_error from r union all select 'l_quantity', round(b2, 3), round(se2, 3) from r")
-def random_effects_gls(spark, d):
+def random_effects(spark, d):
     return _estimates(spark, panel.random_effects(_lines(spark, d), "l_extendedprice", ["l_quantity"], "l_suppkey"), 3, se=True)
 
 
@@ -286,7 +286,7 @@ _MONTHLY = "mo as (select o_custkey as u, date_diff('month', date '1990-01-01',
 
 
 @query(f"with {_MONTHLY}, j as (select *, avg(orders) over (partition by u) as mean_orders from mo), {least_squares('o', 'j', 'total', ['orders', 'mean_orders'])} {_terms('o', ['orders', 'mean_orders'], 3)}")
-def mundlak_means(spark, d):
+def mundlak(spark, d):
     return _estimates(spark, panel.mundlak(_monthly(spark, d), "total", ["orders"], "o_custkey")[0], 3)
 
 
@@ -294,7 +294,7 @@ def mundlak_means(spark, d):
 e as (select u, m, dy - b * dx as e from f, b where dy is not null), l as (select u, e, lag(e) over (partition by u order by m) as l from e), z as (select u, e, l from l where l is not null),
 r as (select sum(e * l) / sum(l * l) as rho, sum(l * l) as ll, count(*) as n from z), s as (select u, sum(l * (e - rho * l)) as s from z, r group by u)
 select round(pow((rho + 0.5) / (sqrt((select sum(s * s) from s) * g / (g - 1) * (n - 1) / (n - 1)) / ll), 2), 3) as statistic from r, (select count(*) as g from s)""")
-def wooldridge_statistic(spark, d):
+def wooldridge_serial(spark, d):
     return _row(spark, {"statistic": panel.wooldridge_serial(_monthly(spark, d), "total", ["orders"], "o_custkey", "month")[0]}, 3)
 
 
@@ -327,7 +327,7 @@ _TWO_SQL = "two as (select cast(o_orderdate as date) as day, sum(o_totalprice) /
 
 
 @query(f"with {_TWO_SQL}, {least_squares('a', 'k', 'total', ['t1', 't2', 'n1', 'n2'])}, {least_squares('s', 'k', 'total', ['t1', 't2'])} select round((s.ssr - a.ssr) / 2 / (a.ssr / (a.n - 5)), 5) as f from a, s")
-def granger_statistic(spark, d):
+def granger(spark, d):
     return _row(spark, {"f": timeseries.granger_causality(_two(spark, d), "total", "n", 2, ["day"])[0]}, 5)
 
 
@@ -335,7 +335,7 @@ _VAR = ["total.L1", "n.L1", "total.L2", "n.L2"]
 
 
 @query(f"with {_TWO_SQL}, {least_squares('a', 'k', 'total', ['t1', 'n1', 't2', 'n2'])}, {least_squares('b', 'k', 'n', ['t1', 'n1', 't2', 'n2'])} select 'total' as equation, * from ({_terms('a', _VAR, 5)}) union all select 'n', * from ({_terms('b', _VAR, 5)})")
-def var_equations(spark, d):
+def var_model(spark, d):
     v = timeseries.VAR(_two(spark, d), ["total", "n"], 2, ["day"])
     rows = [(c, t, round(float(b), 5)) for c, f in zip(v.names, v.fits, strict=True) for t, b in zip(f.names, f.params, strict=True)]
     return spark.createDataFrame(rows, "equation string, term string, estimate double")
@@ -366,7 +366,7 @@ def lag_matrix(spark, d):
 
 # causal
 @query("with " + ", ".join(least_squares(p, f"(select l_extendedprice as y, l_quantity - 25 as x, 1 - abs(l_quantity - 25) / 10 as w from lineitem where abs(l_quantity - 25) < 10 and l_quantity {c} 25)", "y", ["x"], weight="w") for p, c in (("a", "<"), ("b", ">="))) + " select round(b.b0 - a.b0, 3) as effect, a.n + b.n as n from a, b")
-def rd_effect(spark, d):
+def regression_discontinuity(spark, d):
     r = causal.regression_discontinuity(_lines(spark, d), "l_extendedprice", "l_quantity", 25.0, 10.0)
     return spark.createDataFrame([(round(r["effect"], 3), r["n"])], "effect double, n long")
 
@@ -385,7 +385,7 @@ x as (select *, lag(d) over w as dlag, lag(y) over w as ylag, lead(y, 1) over w
 
 
 @query(_lp_did_sql())
-def lp_did_path(spark, d):
+def lp_did(spark, d):
     x = read_table(spark, d, "events").groupBy("user_id", F.dayofmonth("ts").alias("day")).agg(F.avg("value").alias("y"))
     x = x.withColumn("tr", F.when((F.col("user_id") % 3 > 0) & (F.col("day") >= 8 + 5 * (F.col("user_id") % 3)), 1).otherwise(0))
     return causal.lp_did(x, "y", "user_id", "day", "tr", pre=3, post=3).select("horizon", F.round("effect", 6).alias("effect"), F.round("std_error", 6).alias("std_error"), "n")
@@ -472,6 +472,6 @@ def _cox_sql(steps: int) -> str:
 
 
 @query(_cox_sql(8))
-def cox_newton(spark, d):
+def cox(spark, d):
     x = _life(spark, d).withColumn("odd", (F.col("user_id") % 2).cast("double"))
     return _fit(spark, survival.cox(x, "t", "d", ["odd"]), 5).select("term", "estimate")

@@ -59,11 +59,6 @@ def between(spark, d):
     return _fit(spark, panel.between(_lines(spark, d), "l_extendedprice", ["l_quantity"], "l_suppkey"), 4).where("term = 'l_quantity'").select(F.lit("x").alias("term"), "estimate")
 
 
-@query()
-def random_effects(spark, d):
-    return _fit(spark, panel.random_effects(_lines(spark, d), "l_extendedprice", ["l_quantity"], "l_suppkey"))
-
-
 @query(f"""with {_DEMEAN}, p as (select regr_syy(l_extendedprice, l_quantity) - regr_sxy(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity) / regr_sxx(l_extendedprice, l_quantity) as ssr0 from lineitem)
 select round((ssr0 - ssr) / (g - 1) / (ssr / (n - g - 1)), 6) as f from b, p""")
 def fe_f_test(spark, d):
@@ -90,17 +85,6 @@ def _monthly(spark, d):
     return o.groupBy("o_custkey", "month").agg(F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).cast("double").alias("orders"))
 
 
-@query()
-def wooldridge_serial(spark, d):
-    s, p = panel.wooldridge_serial(_monthly(spark, d), "total", ["orders"], "o_custkey", "month")
-    return _row(spark, {"statistic": s, "p": p}, 4)
-
-
-@query()
-def mundlak(spark, d):
-    return _fit(spark, panel.mundlak(_monthly(spark, d), "total", ["orders"], "o_custkey")[0], 3)
-
-
 @query()
 def panel_threshold(spark, d):
     return _row(spark, panel.panel_threshold(_monthly(spark, d), "total", ["orders"], "month", "o_custkey"), 3)
@@ -246,19 +230,6 @@ def _two(spark, d):
     return read_table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg((F.sum("o_totalprice") / 1e5).alias("total"), F.count(F.lit(1)).cast("double").alias("n"))
 
 
-@query()
-def granger(spark, d):
-    f, p = timeseries.granger_causality(_two(spark, d), "total", "n", 2, ["day"])
-    return _row(spark, {"f": f, "p": p}, 5)
-
-
-@query()
-def var_model(spark, d):
-    v = timeseries.VAR(_two(spark, d), ["total", "n"], 2, ["day"])
-    rows = [(c, t, round(float(b), 5)) for c, f in zip(v.names, v.fits, strict=True) for t, b in zip(f.names, f.params, strict=True)]
-    return spark.createDataFrame(rows, "equation string, term string, estimate double")
-
-
 @query()
 def johansen(spark, d):
     r = timeseries.johansen(_two(spark, d), ["total", "n"], 1, ["day"])
@@ -364,18 +335,6 @@ def psm(spark, d):
     return _row(spark, causal.psm(x, "l_extendedprice", "t", ["q", "l_tax"]), 4)
 
 
-@query()
-def regression_discontinuity(spark, d):
-    return _row(spark, causal.regression_discontinuity(_lines(spark, d), "l_extendedprice", "l_quantity", 25.0, 10.0), 3)
-
-
-@query()
-def lp_did(spark, d):
-    x = read_table(spark, d, "events").groupBy("user_id", F.dayofmonth("ts").alias("day")).agg(F.avg("value").alias("y"))
-    x = x.withColumn("tr", F.when((F.col("user_id") % 3 > 0) & (F.col("day") >= 8 + 5 * (F.col("user_id") % 3)), 1).otherwise(0))
-    return causal.lp_did(x, "y", "user_id", "day", "tr", pre=3, post=3).select("horizon", F.round("effect", 6).alias("effect"), F.round("std_error", 6).alias("std_error"), "n")
-
-
 # survival
 _LIFE = """life as (select user_id, min(ts) filter (event_type = 'error') as e, min(ts) as a, max(ts) as z from events group by 1),
 dur as (select date_diff('hour', date_trunc('hour', a), date_trunc('hour', coalesce(e, z))) as t, (e is not null)::int as d from life)"""
@@ -395,11 +354,6 @@ def kaplan_meier(spark, d):
     return survival.kaplan_meier(_life(spark, d), "t", "d").select("time", "at_risk", "deaths", F.round("survival", 8).alias("survival"))
 
 
-@query()
-def cox(spark, d):
-    return _fit(spark, survival.cox(_life(spark, d).withColumn("odd", (F.col("user_id") % 2).cast("double")), "t", "d", ["odd"]), 5)
-
-
 # multivariate and learning
 @query("""with r as (select corr(l_quantity, l_extendedprice) as r from lineitem) select round(1 + abs(r), 8) as e1, round(1 - abs(r), 8) as e2 from r""")
 def pca_two(spark, d):
@@ -407,11 +361,6 @@ def pca_two(spark, d):
     return _row(spark, {"e1": v[0], "e2": v[1]}, 8)
 
 
-@query()
-def manova(spark, d):
-    return _row(spark, multivariate.manova(_lines(spark, d), ["l_quantity", "l_extendedprice"], "l_returnflag"), 6)
-
-
 @query()
 def kde(spark, d):
     return multivariate.kde(_lines(spark, d), "l_quantity", 64).select(F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))

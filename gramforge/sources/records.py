@@ -82,8 +82,16 @@ class Parser:
     def record(self, text: str, at: int = 0, end: int | None = None, line: bool = False) -> tuple[list[str], int, list[int]]:
         """Fields, where the record stops and where its fields start. line: a bare line break ends the record."""
         end = len(text) if end is None else end
-        fields: list[str] = []
-        starts: list[int] = []
+        eol = text.find("\n", at, end) if line else -1
+        eol = end if eol < 0 else eol
+        if text.find(self.quote, at, eol) < 0:
+            # Without a quote the grammar is a split.
+            fields = text[at:eol].split(self.sep)
+            starts = [at]
+            for f in fields[:-1]:
+                starts.append(starts[-1] + len(f) + 1)
+            return fields, eol, starts
+        fields, starts = [], []
         while True:
             starts.append(at)
             v, stop = self.field(text, at, end, line, len(fields))
@@ -147,6 +155,15 @@ class Parser:
         """
         n = len(text)
         while at < n:
+            if not convert:
+                # Lines before the next quote are records, whatever they hold.
+                q = text.find(self.quote, at)
+                stop = text.rfind("\n", at, n if q < 0 else q)
+                if stop >= 0 or q < 0:
+                    stop = n if stop < 0 else stop
+                    yield at, stop, None, None
+                    at = stop + 1
+                    continue
             values, error = None, None
             try:
                 fields, stop, starts = self.record(text, at, n, True)

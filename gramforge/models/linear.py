@@ -139,7 +139,7 @@ def wls(df: DataFrame, formula: str, weights: str, cov: Cov = Cov(), **kwargs) -
 
 
 def influence(df: DataFrame, formula: str) -> DataFrame:
-    """Rows of `df` with fitted, residual, leverage, student_internal, student_external, cooks_d and dffits."""
+    """Rows of `df` with fitted, residual, leverage, student_internal, student_external, cooks_d, dffits and dfbetas_<term> per term."""
     y, x = Formula.parse(formula).design(df)
     fit = fit_columns(df, y, x)
     n, k, s2 = fit.stats["n"], len(fit.names), fit.stats["sigma"] ** 2
@@ -151,7 +151,15 @@ def influence(df: DataFrame, formula: str) -> DataFrame:
     s2i = (F.lit(s2 * (n - k)) - e * e / free) / (n - k - 1)
     d = d.withColumn("student_external", F.when((free > 1e-12) & (s2i > 0), e / F.sqrt(free * s2i)))
     d = d.withColumn("cooks_d", F.when(free > 1e-12, e * e * h / (k * s2 * free * free)))
-    return d.withColumn("dffits", F.col("student_external") * F.sqrt(h / free))
+    d = d.withColumn("dffits", F.col("student_external") * F.sqrt(h / free))
+    # The change of a coefficient without the row, in errors estimated without it.
+    share = [linear(bread[j], fit.exprs) / math.sqrt(bread[j, j]) for j in range(k)]
+    return d.select("*", *[(F.col("student_external") * s / F.sqrt(1 - F.col("leverage"))).alias(f"dfbetas_{c}") for c, s in zip(fit.names, share, strict=True)])
+
+
+def influence_thresholds(n: int, k: int) -> dict[str, float]:
+    """Usual marks above which a row counts as influential, for n rows and k terms."""
+    return {"leverage": 2 * k / n, "cooks_d": 4 / n, "dffits": 2 * math.sqrt(k / n), "dfbetas": 2 / math.sqrt(n)}
 
 
 def iv(df: DataFrame, y: Column, x: dict[str, Column], z: dict[str, Column], cov: Cov = Cov()) -> Fit:  # noqa: B008

@@ -128,12 +128,13 @@ def wls_inference(spark, d):
 
 @query("""with b as (select regr_slope(o_totalprice, o_custkey) as b1, regr_intercept(o_totalprice, o_custkey) as b0, regr_sxx(o_totalprice, o_custkey) as sxx, avg(o_custkey) as mx, count(*) as n,
   regr_syy(o_totalprice, o_custkey) - pow(regr_sxy(o_totalprice, o_custkey), 2) / regr_sxx(o_totalprice, o_custkey) as ssr from orders),
-r as (select o_orderkey, o_totalprice - b0 - b1 * o_custkey as e, 1 / n + pow(o_custkey - mx, 2) / sxx as h, ssr / (n - 2) as s2, n from orders, b)
+r as (select o_orderkey, o_custkey - mx as c, sxx, o_totalprice - b0 - b1 * o_custkey as e, 1 / n + pow(o_custkey - mx, 2) / sxx as h, ssr / (n - 2) as s2, n from orders, b)
 select o_orderkey, round(h, 9) as leverage, round(e / sqrt(s2 * (1 - h)), 6) as student_internal, round(e * e * h / (2 * s2 * pow(1 - h, 2)), 9) as cooks_d,
-  round(e / sqrt((s2 * (n - 2) - e * e / (1 - h)) / (n - 3) * (1 - h)) * sqrt(h / (1 - h)), 6) as dffits from r""")
+  round(e / sqrt((s2 * (n - 2) - e * e / (1 - h)) / (n - 3) * (1 - h)) * sqrt(h / (1 - h)), 6) as dffits,
+  round(c / sxx * e / (1 - h) / sqrt((s2 * (n - 2) - e * e / (1 - h)) / (n - 3)) * sqrt(sxx), 7) + 0.0 as dfbetas from r""")
 def ols_influence(spark, d):
     x = linear.influence(read_table(spark, d, "orders"), "o_totalprice ~ o_custkey")
-    return x.select("o_orderkey", F.round("leverage", 9).alias("leverage"), F.round("student_internal", 6).alias("student_internal"), F.round("cooks_d", 9).alias("cooks_d"), F.round("dffits", 6).alias("dffits"))
+    return x.select("o_orderkey", F.round("leverage", 9).alias("leverage"), F.round("student_internal", 6).alias("student_internal"), F.round("cooks_d", 9).alias("cooks_d"), F.round("dffits", 6).alias("dffits"), (F.round("dfbetas_o_custkey", 7) + 0.0).alias("dfbetas"))
 
 
 @query("""with w as (select event_id, case when row_number() over o >= 20 then regr_slope(value, user_id) over (order by event_id rows between 19 preceding and current row) end as b from events window o as (order by event_id))

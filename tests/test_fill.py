@@ -39,6 +39,15 @@ def test_category_follows_the_time_where_groups_leave_it_open(spark):
     assert r[913]["c_was_filled"] and not r[914]["c_was_filled"] and len(r) == len(data)
 
 
+def test_category_with_time_edge_cases(spark):
+    df = spark.createDataFrame([(1, "a", 1, 0.0, None), (2, None, None, 0.0, None), (3, "a", None, 0.0, None)], PANEL)
+    assert fill_category(df.limit(0), "c", "g", time="t").count() == 0
+    assert [r["c_was_filled"] for r in fill_category(df, "c", "g", time="t").collect()] == [False] * 3
+    clash = spark.createDataFrame([(1, "a", 1, "x", 5, 5, 5, 5), (2, "a", 1, None, 6, 6, 6, 6), (2, "a", 1, None, 6, 6, 6, 6)], "id int, g string, t int, c string, n int, th int, share int, best int")
+    out = fill_category(clash, "c", "g", time="t").collect()
+    assert sorted((r["id"], r["c"], r["n"], r["best"], r["c_was_filled"]) for r in out) == [(1, "x", 5, 5, False), (2, "x", 6, 6, True), (2, "x", 6, 6, True)]
+
+
 def test_multinomial_multipliers_match_a_dense_fit(spark):
     from gramforge.operators.fill import _Multinomial
 

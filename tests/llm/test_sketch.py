@@ -50,7 +50,7 @@ def test_error_is_within_the_stated_bound(spark, kind):
     sk = merge_sketches(build_sketch(df, ["part"], "v"), [])
     for r in sketch_quantiles(sk, [], QS).collect():
         assert r["n_values"] == len(v)
-        assert r["rank_bound"] <= (0 if kind == "ties" else 0.03) * len(v)
+        assert r["rank_bound"] <= (0 if kind == "ties" else 0.015) * len(v)
         assert rank_error(v, r["q"], r["quantile"]) <= r["rank_bound"] + 1
 
 
